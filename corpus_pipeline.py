@@ -1,7 +1,62 @@
-"""Placeholder until all stages exist."""
-STAGES = []
+"""From raw documents to token ids: five stages, each a DataFrame to DataFrame function.
+
+Each stage gets what its predecessor kept, written as Parquet and read again;
+all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textmill.llm.common import materialize, table
+from textmill.llm.decontaminate import drop_contaminated
+from textmill.llm.langid import UNKNOWN, fit_language_model, language_folds, predict_language
+from textmill.llm.line_dedup import dedup_lines
+from textmill.llm.minhash_dedup import minhash_keep
+from textmill.llm.sentencepiece_codec import encode_documents
+
+#: A document is rejected if its language is unknown or less likely than this.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = fit_language_model(language_folds(docs).where("not held_out"))
+    known = predict_language(docs.select("text", F.struct(*docs.columns).alias("__row")), model, keep=("__row",))
+    return known.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("__row.*")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dedup_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash_keep(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_documents(docs).select("doc_id", "n_tokens", "ids")
+
+
+STAGES = [
+    ("language_id", keep_known_language),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("sentencepiece", encode),
+]
+
+#: The stages learn, cluster and encode, which SQL can't express; they are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

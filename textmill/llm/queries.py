@@ -8,8 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm.common import table
+from textmill.llm.decontaminate import contaminations
+from textmill.llm.embedding_dedup import embedding_components
+from textmill.llm.labels import held_out_column
 from textmill.llm.langid import fit_language_model, language_folds, predict_language
+from textmill.llm.line_dedup import line_report
 from textmill.llm.minhash_dedup import minhash_components
+from textmill.llm.quality import fit_quality, score_quality
+from textmill.llm.secret_scan import scan_secrets, span_digest
+from textmill.llm.sentencepiece_codec import encode_documents
+from textmill.llm.toxicity import fit_toxicity, score_toxicity
 from textmill.llm.url_filter import judge_urls
 
 
@@ -21,19 +29,78 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_documents(table(spark, sf_dir, "documents"), check=True)
+    return encoded.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "round_trip")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = language_folds(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     model = fit_language_model(docs.where("not held_out"))
     return predict_language(docs, model, keep=("doc_id", "held_out"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = held_out_column(table(spark, sf_dir, "documents").select("doc_id", "text"), folds=5, held_out=0)
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), folds=5, held_out=0)
+    return score_quality(docs, model, keep=("doc_id", "held_out"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item", "n_shared", F.round("containment", 6).alias("containment"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = held_out_column(table(spark, sf_dir, "documents").select("doc_id", "text"), folds=3, held_out=1)
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), folds=3, held_out=1)
+    return score_toxicity(docs, model, keep=("doc_id", "held_out")).withColumn("n_passages", F.size("passages")).drop("passages")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_url_filter": op2_url_filter,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_secret_scan": op5_secret_scan,
     "op6_language_id": op6_language_id,
+    "op7_quality": op7_quality,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_decontamination": op9_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_decontamination": r"""
+WITH doc AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS w FROM documents
+), item AS (
+  SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark
+), item_sh AS (
+  SELECT DISTINCT item_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM item, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0
+), size AS (
+  SELECT item_id, count(*) AS n_item FROM item_sh GROUP BY item_id
+), doc_sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM doc, unnest(range(1, len(w) - 3)) AS t(i) WHERE len(w) >= 5
+)
+SELECT d.doc_id, i.item_id, any_value(z.n_item) AS n_item, count(*) AS n_shared, round(count(*) / any_value(z.n_item), 6) AS containment
+FROM doc_sh d JOIN item_sh i USING (s) JOIN size z ON z.item_id = i.item_id
+GROUP BY d.doc_id, i.item_id HAVING count(*) * 100 >= any_value(z.n_item) * 80
+""",
     "op2_url_filter": r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
