@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm.common import materialize
 from textmill.llm.labels import labelled_sample
-from textmill.llm.shingles import slices
+from textmill.llm.shingles import mix, slices
 from textmill.llm.tokens import LETTER, tokenize
 
-MAX_FIT_DOCS, MAX_WORDS, LEAST_COUNT = 20_000, 50_000, 3
+MAX_FIT_DOCS, MAX_WORDS, LEAST_COUNT = 12_000, 50_000, 3
 PRIOR_WORDS = 1000.0  # weight of the corpus's word shares against the labelled counts
 CONFIDENCE = 2.0  # standard errors by which log-odds are drawn towards zero
 DRIFT = 0.3  # taken from each token's score, so that ordinary text sums downwards
@@ -110,17 +111,20 @@ def _features(model: ToxicityModel, texts: list[str | None]) -> tuple[np.ndarray
     return weight, found
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of word hashes in toxic (1) and other (0) texts, summed within a slice."""
+def _word_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word hash with its label and a hash of its two neighbours, once per slice."""
     for batch in batches:
-        texts, labels = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist())
+        texts, labels = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.uint64)
         for start, end in slices(texts):
             hashes, owner = tokenize(texts[start:end], (LETTER,), lower=True)
-            toxic = labels[start:end][owner] if len(owner) else np.zeros(0)
-            keys, at = np.unique(hashes, return_inverse=True)
-            yes = np.bincount(at, toxic, minlength=len(keys)).astype(np.int64)
+            if not len(hashes):
+                continue
+            edge = np.zeros(1, np.uint64)
+            around = np.concatenate([edge, hashes[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + mix(np.concatenate([hashes[1:], edge]))
+            context = (mix(around) << np.uint64(1)) | labels[start:end][owner]
+            rows = np.unique(np.stack([hashes, context], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(yes), pa.array(np.bincount(at, minlength=len(keys)) - yes)], names=["h", "yes", "no"]
+                [pa.array(rows[:, 0].astype(np.uint64).view(np.int64)), pa.array(np.ascontiguousarray(rows[:, 1]).view(np.int64))], names=["h", "context"]
             )
 
 
@@ -180,17 +184,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
 
     Labels come from at most about ``max_docs`` documents outside the fold,
     and ``MAX_WORDS`` of their words with ``LEAST_COUNT`` uses or more are
-    scored.  The prior of a word is its share of the whole corpus.  Log-odds
+    scored.  Uses are distinct pairs of neighbours, so that copies of one text
+    do not make its words look toxic or harmless.  The prior of a word is its share of the whole corpus.  Log-odds
     are drawn to zero by ``CONFIDENCE`` standard errors, so that rare words
     score nothing.  Without labels of both kinds no word scores.
     """
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, label, folds, held_out, max_docs)
     counted = (
-        sample.mapInArrow(_word_counts, "h long, yes long, no long")
+        sample.mapInArrow(_word_contexts, "h long, context long")
+        .distinct()
         .groupBy("h")
-        .agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+        .agg(F.sum(F.expr("context & 1")).alias("yes"), F.sum(F.expr("1 - (context & 1)")).alias("no"))
     )
+    counted = materialize(counted, "words")
     sums = counted.agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).first()
     n_yes, n_no = float(sums["yes"] or 0), float(sums["no"] or 0)
     top = counted.where(F.col("yes") + F.col("no") >= LEAST_COUNT).orderBy(F.desc(F.col("yes") + F.col("no")), "h").limit(MAX_WORDS).toArrow()
