@@ -56,6 +56,27 @@ def fold(column: str | Column, buckets: int) -> Column:
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % buckets
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(df: DataFrame, id_col: str, text_col: str) -> Column:
+    """A hash of a row's id and text; with the id itself it stands for the row."""
+    return F.xxhash64(df[id_col], df[text_col])
+
+
+def join_on_row(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """``docs`` joined with ``found`` ``(doc_id, row_key, ...)`` by row, null ids included; for inner joins and outer ones
+    the other columns of ``found`` must not be in ``docs``."""
+    one, two = fresh(docs, "found_id"), fresh(docs, "found_key")
+    other = found.withColumnsRenamed({"doc_id": one, "row_key": two})
+    return docs.join(other, (row_key(docs, id_col, text_col) == other[two]) & docs[id_col].eqNullSafe(other[one]), how)
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; reads no more than that plus one."""
     return df.limit(max_rows + 1).count() <= max_rows

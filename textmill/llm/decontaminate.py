@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import broadcast_if_small, materialize
+from textmill.llm.common import broadcast_if_small, join_on_row, materialize
 
 SIZE = 5
 PERCENT = 80
@@ -116,10 +116,10 @@ def contaminations(
     sets = materialize(sets, "hits")
     wanted = materialize(items.groupBy("item_id", "q").agg(F.collect_set("h").alias("wanted")), "wanted")
 
-    partitions = sets.select("x").distinct()
+    sizes = [r["x"] for r in sets.select("x").distinct().collect()]  # powers of two, so no more than 32
     plan = (
-        broadcast_if_small(partitions, 64)  # sizes are powers of two
-        .join(wanted.withColumn("mins", _minima("wanted")))
+        wanted.withColumn("mins", _minima("wanted"))
+        .withColumn("x", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")))
         .where(F.col("x") >= F.col("q") * percent / 100)
         .withColumn("rows", _rows_for(F.col("x"), F.col("q"), percent))
     )
@@ -153,6 +153,4 @@ def contaminations(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that contain a benchmark item; the columns stay as they are."""
     found = contaminations(docs, benchmark, id_col, text_col, **options)
-    gone = found.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct()
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    return docs.join(gone, (key == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    return join_on_row(docs, found.select("doc_id", "row_key").distinct(), id_col, text_col, "left_anti")

@@ -18,13 +18,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", folds) != held_out))
-        .groupBy(F.col("doc_id").alias("__doc_id"))
+        .groupBy(F.col("doc_id").alias("known_id"))
         .agg(F.max(label).cast("int").alias("label"))
     )
     total = known.count()
     if total > max_rows:
-        known = known.where(F.pmod(F.xxhash64("__doc_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
-    return docs.join(F.broadcast(known), docs["doc_id"] == F.col("__doc_id")).where("text is not null").select("text", "label")
+        known = known.where(F.pmod(F.xxhash64("known_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
+    texts = docs.select(F.col("doc_id").alias("own_id"), "text").where("text is not null")
+    return texts.join(F.broadcast(known), F.col("own_id") == F.col("known_id")).select("text", "label")
 
 
 def held_out_column(docs: DataFrame, folds: int, held_out: int) -> DataFrame:

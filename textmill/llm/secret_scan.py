@@ -49,7 +49,7 @@ def spans(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
         parts = some if parts is None else parts.unionByName(some)
     before = Window.partitionBy(*keep, "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.coalesce("n", F.lit(0))).over(before)
-    placed = parts.distinct().withColumn("end", end)  # distinct: rows that repeat id and text.where("n is not null and m >= least")
+    placed = parts.distinct().withColumn("end", end).where("n is not null and m >= least")  # distinct: rows may repeat
     return placed.select(*keep, "kind", (F.col("end") - F.col("n")).alias("start"), "end")
 
 

@@ -55,10 +55,14 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
+        return self.encode_part(" " + text) if self.separable else self.processor.encode(text)
+
+    def encode_part(self, part: str) -> list[int]:
+        """Ids of a text, or a later part of one, from its first blank on; the model sees a blank before every text."""
         if not self.separable:
-            return self.processor.encode(text)
+            return self.processor.encode(part[1:])
         out: list[int] = []
-        for unit in UNIT.findall(" " + text.replace(SPACE, " ")):
+        for unit in UNIT.findall(part.replace(SPACE, " ")):
             out += self.unit(unit[1:])
         return out
 
@@ -80,18 +84,19 @@ def codec(model: bytes) -> Codec:
     return _codecs[model]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], model, check: bool) -> Iterator[pa.RecordBatch]:
-    """The last column is the text; the others are kept."""
+def _encode(batches: Iterator[pa.RecordBatch], model, check: bool, parts: bool = False) -> Iterator[pa.RecordBatch]:
+    """The last column is the text, or a part of one with the blank before it; the others are kept."""
     own = codec(model.value)
+    encode = own.encode_part if parts else own.encode
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
             texts = part.column(part.num_columns - 1).to_pylist()
-            ids = [None if t is None else own.encode(t) for t in texts]
+            ids = [None if t is None else encode(t) for t in texts]
             columns = [*part.columns[:-1], pa.array(ids, pa.list_(pa.int32()))]
             names = [*part.schema.names[:-1], "ids"]
             if check:
-                same = [None if i is None else own.processor.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
+                same = [None if i is None else own.processor.decode(i) == t[parts:].replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
                 columns, names = [*columns, pa.array(same, pa.bool_())], [*names, "round_trip"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -102,8 +107,7 @@ def _split(batches: Iterator[pa.RecordBatch], model, size: int) -> Iterator[pa.R
         rows, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for row, text in zip(rows, texts, strict=True):
             places = [0, *own.cuts(text, size), len(text)]
-            # a later part loses its leading blank: the model puts it back
-            parts = [text[a + (a > 0) : b] for a, b in zip(places, places[1:], strict=False)]
+            parts = [text[a:b] if a else " " + text[:b] for a, b in zip(places, places[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())],
                 names=["row", "part", "text"],
@@ -139,7 +143,7 @@ def encode_documents(
         numbered = materialize(giants.withColumn("row", F.monotonically_increasing_id()), "giants")
         parts = materialize(numbered.select("row", "text").mapInArrow(lambda it: _split(it, model, giant_chars // 4), "row long, part int, text string"), "parts")
         done = parts.repartition("row", "part").mapInArrow(
-            lambda it: _encode(it, model, check), "row long, part int, ids array<int>" + ", round_trip boolean" * check
+            lambda it: _encode(it, model, check, parts=True), "row long, part int, ids array<int>" + ", round_trip boolean" * check
         )
         joined = [F.flatten(F.expr("transform(array_sort(collect_list(struct(part, ids))), x -> x.ids)")).alias("ids")]
         joined += [F.bool_and("round_trip").alias("round_trip")] * check
