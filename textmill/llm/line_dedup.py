@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import broadcast_if_small, materialize
-from textmill.llm.neardup import components
+from textmill.llm.common import broadcast_if_small, fresh, join_on_row, materialize
+from textmill.llm.neardup import components, likely_pairs, residual_tiles
 
 SHINGLE = 10  # bytes of UTF-8
 PERCENT = 80
@@ -15,12 +15,14 @@ BINS = 16
 PER_BIN = 6  # shingles expected in a bin of the signature
 #: Bins read by each band; a pair at similarity 0.8 misses all eight with probability under 0.01.
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (12, 13, 14), (15, 0, 8), (3, 10, 14), (6, 1, 12))
+#: Equal bins of a pair worth verifying; at similarity 0.8 a pair has fewer with probability 0.0002.
+LEAST_AGREEING = 7
 #: Most candidate lines whose keys are broadcast (8 bytes each); beyond, a shuffled join.
 MAX_BROADCAST_KEYS = 1_000_000
 
 
 def _canonical(line: str) -> str:
-    return f"btrim({line}, ' \\t\\r')"
+    return f"btrim({line}, ' \\t\\r\\n')"
 
 
 def _row_key(id_col: str, text_col: str) -> list[Column]:
@@ -82,13 +84,27 @@ def line_components(docs: DataFrame, text_col: str = "text", min_chars: int = MI
     signatures = materialize(line_signatures(docs, text_col, min_chars), "lines")
     bands = [F.xxhash64(F.lit(i), *(F.col(f"m{j}") for j in picked)) for i, picked in enumerate(BANDS)]
     buckets = signatures.select(F.col("k").alias("node"), F.explode(F.array(*bands)).alias("bucket"))
+    kept: list[DataFrame] = []
+
+    def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        wanted = broadcast_if_small(nodes, MAX_BROADCAST_KEYS)
+        own = signatures.select(F.col("k").alias("node"), F.array(*(f"m{j}" for j in range(BINS))).alias("signature"))
+        kept.append(materialize(own.join(wanted, "node", "left_semi"), "signatures"))
+        return likely_pairs(pairs, kept[0], LEAST_AGREEING)
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = broadcast_if_small(nodes.select(F.col("node").alias("k")), MAX_BROADCAST_KEYS)
         found = _lines(docs, text_col, min_chars).join(wanted, "k", "left_semi").groupBy("k", "bytes", "n").agg(F.lit(1))
-        return _shingles(found, "k").groupBy(F.col("k").alias("node")).agg(F.collect_set("h").alias("items"))
+        # the line is bound to a lambda's variable, which is passed on without a copy for each shingle
+        hashes = f"transform(array(bytes), b -> array_distinct(transform(sequence(1, n), i -> xxhash64(substring(b, i, {SHINGLE})))))[0]"
+        return found.select(F.col("k").alias("node"), F.expr(hashes).alias("items"))
+
+    def residual(rows: DataFrame) -> DataFrame:
+        # 31 bits tell the shingles of two lines apart nearly as well as 64 and halve what is sent
+        short = F.expr("transform(items, h -> cast(h & 2147483647 as int))")
+        return residual_tiles(rows, materialize(sets_of(rows.select("node").distinct()).select("node", short.alias("items")), "sets"), percent)
 
-    return components(buckets, sets_of, percent)
+    return components(buckets, sets_of, percent, residual, likely=likely)
 
 
 def removed_lines(
@@ -137,17 +153,14 @@ def dedup_lines(
     With ``drop_emptied`` a row all of whose non-blank lines are copies of
     lines elsewhere goes; rows that had no text before stay.
     """
-    gone = removed_lines(docs, id_col, text_col, min_chars, percent).select(
-        F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("removed").alias("__gone")
-    )
-    names = docs.columns
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    joined = docs.withColumn("__k", key).join(gone, (F.col("__k") == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    rest = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(__gone, i)), '\\n')")
-    out = joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(rest))
+    gone = fresh(docs, "removed")
+    found = removed_lines(docs, id_col, text_col, min_chars, percent).withColumnRenamed("removed", gone)
+    joined = join_on_row(docs, found, id_col, text_col, "left")
+    rest = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(`{gone}`, i)), '\\n')")
+    out = joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(rest))
     if drop_emptied:
-        out = out.where(F.col("__gone").isNull() | (F.length(F.expr(_canonical(f"`{text_col}`"))) > 0))
-    return out.select(*names)
+        out = out.where(F.col(gone).isNull() | (F.length(F.expr(_canonical(f"`{text_col}`"))) > 0))
+    return out.select(*(f"`{c}`" for c in docs.columns))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

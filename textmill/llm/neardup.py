@@ -25,50 +25,88 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return scored.where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).select("a", "b").distinct()
 
 
+def agreeing(one: str, two: str, least: int) -> str:
+    """SQL: two signatures have at least ``least`` equal values in the same places."""
+    return f"size(filter(zip_with({one}, {two}, (x, y) -> x = y), e -> e)) >= {least}"
+
+
+def likely_pairs(pairs: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
+    """Pairs whose ``signatures`` ``(node, signature)`` agree in ``least`` places or more."""
+    left = signatures.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
+    right = signatures.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").where(F.expr(agreeing("sa", "sb", least))).select("a", "b")
+
+
+TILE_ITEMS = 20_000  # items in a tile, on average; a row of the comparison holds two tiles
+
+
+def residual_tiles(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges ``(a, b)`` between the components of a bucket's ``(bucket, node, c)`` members whose sets are similar.
+
+    Strays, the members outside a bucket's most frequent component, are
+    compared with all its members.  Both are dealt by a hash into tiles of
+    about ``TILE_ITEMS`` items; two tiles are gathered in one row and compared
+    there, and only distinct pairs of component labels leave it.  So a set is
+    sent once for each tile it meets, not for each pair, and members of the
+    largest component are never compared with each other.
+    """
+    counts = open_rows.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    main = counts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("m")).select("bucket", F.col("m.c").alias("main"))
+    sized = sets.select("node", F.size("items").alias("n"))
+    rows = open_rows.join(main, "bucket").join(sized, "node").withColumn("stray", F.expr("c <> main"))
+    tiles = rows.groupBy("bucket").agg(
+        F.ceil(F.sum("n") / TILE_ITEMS).cast("int").alias("na"), F.ceil(F.sum(F.expr("if(stray, n, 0)")) / TILE_ITEMS).cast("int").alias("ns")
+    )
+    rows = rows.join(tiles, "bucket").withColumns({"ta": F.expr("cast(pmod(xxhash64(node), na) as int)"), "ts": F.expr("cast(pmod(xxhash64(node), ns) as int)")})
+    members = rows.select("bucket", "node", "c", F.lit(False).alias("stray"), "ta", F.explode(F.expr("sequence(0, ns - 1)")).alias("ts"))
+    strays = rows.where("stray").select("bucket", "node", "c", "stray", F.explode(F.expr("sequence(0, na - 1)")).alias("ta"), "ts")
+    dealt = members.unionByName(strays).join(sets, "node")
+    of = lambda flag: F.collect_list(F.when(F.col("stray") == flag, F.struct("c", "items")))
+    met = dealt.groupBy("bucket", "ta", "ts").agg(of(True).alias("strays"), of(False).alias("members"))
+    alike = (
+        "y.c <> x.c AND 100 * least(size(x.items), size(y.items)) >= "
+        f"{percent} * greatest(size(x.items), size(y.items)) AND "
+        f"{100 + percent} * size(array_intersect(x.items, y.items)) >= {percent} * (size(x.items) + size(y.items))"
+    )
+    edges = f"flatten(transform(strays, x -> transform(filter(members, y -> {alike}), y -> struct(least(x.c, y.c) AS a, greatest(x.c, y.c) AS b))))"
+    return met.select(F.explode(F.array_distinct(F.expr(edges))).alias("e")).select("e.a", "e.b").distinct()
+
+
 def components(
     buckets: DataFrame,
     sets_of: Callable[[DataFrame], DataFrame],
     percent: int,
+    residual: Callable[[DataFrame], DataFrame],
     extra_edges: DataFrame | None = None,
+    likely: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Components ``(node, component)`` of the links found in ``buckets`` ``(bucket, node)``.
 
     1. Each member of a bucket is compared with the bucket's smallest node
        (as many pairs as members, found by aggregation and a join, so a hot
-       bucket is never gathered in one task).
+       bucket is never gathered in one task).  ``likely(pairs, nodes)`` may
+       drop pairs that cannot be similar.
     2. Only members that share a bucket but are still in different components
-       are compared with each other.  Pairs within a component are never
-       emitted; every bucket pair that could join two components is.
+       are compared with each other, by ``residual(open_rows)``.  Pairs within
+       a component are never looked at.
 
     All comparisons are exact, on the sets that ``sets_of(nodes)`` returns.
     """
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail")
     shared = materialize(buckets.join(heads.select("bucket", "head"), "bucket").select("bucket", "node", "head"), "buckets")
-    stars = materialize(
-        shared.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs"
-    )
-    ends = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
-    first = materialize(verified_pairs(stars, materialize(sets_of(ends(stars)), "sets"), percent), "links")
-    known = first if extra_edges is None else first.unionByName(extra_edges.select("a", "b"))
+    stars = shared.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    if likely is not None:
+        stars = likely(stars, shared.select("node").distinct())
+    stars = materialize(stars, "pairs")
+    ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    known = materialize(verified_pairs(stars, sets_of(ends), percent), "links")
+    if extra_edges is not None:
+        known = known.unionByName(extra_edges.select("a", "b"))
     labels = connected_components(known)
 
-    labelled = (
-        shared.join(labels, "node", "left")
-        .select("bucket", "node", F.coalesce("component", "node").alias("c"))
-    )
+    labelled = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
     mixed = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
     open_rows = materialize(labelled.join(mixed, "bucket", "left_semi"), "open")
-    one = open_rows.select("bucket", F.col("node").alias("a"), F.col("c").alias("ca"))
-    two = open_rows.select("bucket", F.col("node").alias("b"), F.col("c").alias("cb"))
-    cross = materialize(
-        one.join(two, "bucket")
-        .where("a < b and ca <> cb")
-        .select("a", "b")
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti"),
-        "pairs",
-    )
-    if cross.limit(1).count() == 0:
+    if open_rows.limit(1).count() == 0:
         return labels
-    second = verified_pairs(cross, materialize(sets_of(ends(cross)), "sets"), percent)
-    return connected_components(known.unionByName(second))
+    return connected_components(known.unionByName(residual(open_rows).select("a", "b")))
