@@ -245,7 +245,7 @@ def contains_expected(answer: Column, expected: Column) -> Column:
     return F.exists(
         expected,
         lambda e: (e != "")
-        & F.when(e.rlike(r"^[0-9]+$"), F.concat(F.lit(" "), answer, F.lit(" ")).rlike(F.concat(F.lit("(?<![0-9])"), e, F.lit("(?![0-9])")))).otherwise(answer.contains(e)),
+        & F.when(e.rlike(r"^[0-9]+$"), F.rlike(answer, F.concat(F.lit("(?<![0-9])"), e, F.lit("(?![0-9])")))).otherwise(answer.contains(e)),
     )
 
 

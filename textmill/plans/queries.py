@@ -192,34 +192,11 @@ def heldout_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = T.bigrams(F.regexp_replace("text", "(?U)\\s+", ""), False)
     docs = table(spark, sf_dir, "documents").select("doc_id", bare.alias("grams"))
     held = table(spark, sf_dir, "benchmark").select("item_id", bare.alias("grams"))
-    found = leakage.gram_matches(docs, "doc_id", F.col("grams"), held, "item_id", F.col("grams"))
+    found = leakage.gram_matches(docs, "doc_id", F.col("grams"), held, "item_id", F.col("grams"), 0.95, of_held=True)
     share = F.col("shared") / F.col("m")
     return found.where(share >= 0.95).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.round(F.max(share), 9).alias("best"))
 
 
-_PLAIN = "translate(lower({}), '" + T.IGNORED.replace("'", "''") + "', '')"
-_GRAMS12 = "list_distinct(list_concat(list_filter({0}, lambda x: x <> ''), list_transform(range(1, len({0})), lambda i: {0}[i] || {0}[i + 1])))"
-
-
-@query(f"""
-WITH f AS (SELECT item_id AS fid, {_PLAIN.format('text')} AS t FROM benchmark), fc AS MATERIALIZED (SELECT fid, string_split(t, '') AS c FROM f), fg AS (SELECT DISTINCT fid, unnest({_GRAMS12.format('c')}) AS g FROM fc),
-n AS (SELECT count(DISTINCT fid) AS n FROM f), w AS (SELECT g, ln((any_value(n) + 1) / (count(*) + 1)) + 1 AS idf FROM fg, n GROUP BY g),
-q AS (SELECT conv_id * 1000 + turn AS qid, {_PLAIN.format('text')} AS t FROM conversations UNION ALL SELECT -1 - item_id, {_PLAIN.format('text')} FROM benchmark WHERE item_id % 5 = 0),
-qc AS MATERIALIZED (SELECT qid, string_split(t, '') AS c FROM q), qg AS (SELECT qid, unnest({_GRAMS12.format('c')}) AS g FROM qc),
-tot AS (SELECT qid, sum(coalesce(idf, ln(n + 1) + 1)) AS total FROM qg LEFT JOIN w USING (g), n GROUP BY qid),
-cov AS (SELECT qid, fid, sum(idf) AS c FROM qg JOIN w USING (g) JOIN fg USING (g) GROUP BY qid, fid),
-best AS (SELECT qid, fid, c / (total + 8) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(c / (total + 8), 9) DESC, fid) AS rn FROM cov JOIN tot USING (qid)),
-ex AS (SELECT t, max(fid) AS fid FROM f GROUP BY t)
-SELECT q.qid, round(CASE WHEN ex.fid IS NOT NULL THEN 1.0 ELSE coalesce(score, 0) END, 6) AS score, coalesce(ex.fid, best.fid) AS fid
-FROM q LEFT JOIN ex USING (t) LEFT JOIN best ON best.qid = q.qid AND rn = 1
-""")
-def topic_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fid"), U.comparable(F.col("text")).alias("fn"))
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
-    known = table(spark, sf_dir, "benchmark").where("item_id % 5 = 0").select((-1 - F.col("item_id")).alias("qid"), "text")
-    rows = turns.unionByName(known).select("qid", U.comparable(F.col("text")).alias("qn"))
-    found = leakage.coverage(rows, "qid", F.col("qn"), facts, "fid", F.col("fn"))
-    return found.select("qid", F.round("score", 6).alias("score"), "fid")
 
 
 _STEPS = r"""
@@ -385,7 +362,7 @@ def packed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH q AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_name || 'とは何ですか？' WHEN 1 THEN p_name || 'の' || p_brand || 'はどこですか？' WHEN 2 THEN p_name || 'は' || p_type || 'でしょうか？' ELSE p_name END AS q FROM part)
 SELECT id, CASE WHEN contains(q, 'とは') THEN split_part(q, 'とは', 1) WHEN contains(q, 'の') THEN split_part(q, 'の', 1) WHEN contains(q, 'は') THEN split_part(q, 'は', 1) ELSE q END AS entity,
-  CASE id % 4 WHEN 0 THEN '何' || 'ですか' WHEN 1 THEN (SELECT p_brand FROM part p WHERE p.p_partkey = id) WHEN 2 THEN (SELECT p_type FROM part p WHERE p.p_partkey = id) END AS attribute,
+  CASE id % 4 WHEN 0 THEN '何です' WHEN 1 THEN (SELECT p_brand FROM part p WHERE p.p_partkey = id) WHEN 2 THEN (SELECT p_type FROM part p WHERE p.p_partkey = id) END AS attribute,
   CASE id % 4 WHEN 0 THEN split_part(q, 'とは', 1) WHEN 1 THEN rtrim(q, '？')[:-4] WHEN 2 THEN rtrim(q, '？')[:-6] ELSE q END AS cleaned FROM q""")
 def question_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, name = F.col("p_partkey") % 4, F.col("p_name")
@@ -418,7 +395,7 @@ def summary_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT lr.i AS step, round(CASE WHEN i / 100.0 < 0.1 THEN 0.001 * (i / 100.0) / 0.1 ELSE 0.0001 + 0.5 * 0.0009 * (1 + cos(3.141592653589793 * least(1.0, (i / 100.0 - 0.1) / 0.9))) END, 12) AS cosine,
-  round(CASE WHEN i < 10 THEN i / 10.0 ELSE greatest(0.0, 1 - (i - 10) / 90.0) END, 12) AS linear, (i + 1) * 1000::BIGINT * 64 + 128 * 64 + 4 * (4 * 64 * 64 + 4 * 64 + 2 * 64 * 256 + 256 + 64 + 4 * 64) + 2 * 64 AS params, round(i * (1 + 0.85) * 0.85 * 9 * 3600, 6) AS budget FROM range(0, 101) lr(i)""")
+  round(CASE WHEN i < 10 THEN i / 10.0 ELSE greatest(0.0, 1 - (i - 10) / 90.0) END, 12) AS linear, (i + 1) * 1000::BIGINT * 64 + 128 * 64 + 4 * (4 * 64 * 64 + 4 * 64 + 2 * 64 * 256 + 256 + 64 + 4 * 64) + 2 * 64 AS params, round((i * (1 + 0.85) * 0.85 * 9 * 3600)::DOUBLE, 6) AS budget FROM range(0, 101) lr(i)""")
 def training_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     lit = lambda x: F.lit(x).cast("long")
     return spark.range(101).select(
