@@ -11,6 +11,7 @@ from textmill.llm.embedding_dedup import embedding_components, linked_pairs, qua
 from textmill.llm.graph import connected_components
 from textmill.llm.line_dedup import BANDS, SHINGLE, dedup_lines, line_report
 from textmill.llm.minhash_dedup import _linked, minhash_components, minhash_keep
+from textmill.llm.neardup import residual_tiles
 
 DOC = "doc_id long, text string, component_id string, node string, k int, __gone int"
 
@@ -181,6 +182,20 @@ def test_line_edges(spark):
     assert line_report(docs(spark, [(1, None)])).first().n_lines == 0
 
 
+def test_tiles_find_every_link_between_components(spark):
+    rng = random.Random(9)
+    sets = [set(rng.sample(range(1 << 31), 60)) for _ in range(30)]
+    for i in range(40):
+        base = sorted(sets[i % 30])
+        sets.append({*base[rng.randrange(1, 9) :], *rng.sample(range(1 << 31), rng.randrange(9))})
+    sets += [set(range(n)) for n in (0, 1, 900, 1000)]
+    frame = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "node long, items array<int>")
+    rows = frame.selectExpr("1L AS bucket", "node", "node AS c")
+    got = {tuple(r) for r in residual_tiles(rows, frame, 80).collect()}
+    alike = lambda a, b: a | b and 100 * len(a & b) >= 80 * len(a | b)
+    assert got == {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if alike(sets[i], sets[j])} and len(got) > 20
+
+
 def bench_words(text):
     return [w for w in re.split(r"[^\w]+|_", (text or "").lower()) if w]
 

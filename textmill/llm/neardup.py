@@ -38,6 +38,19 @@ def likely_pairs(pairs: DataFrame, signatures: DataFrame, least: int) -> DataFra
 
 
 TILE_ITEMS = 20_000  # items in a tile, on average; a row of the comparison holds two tiles
+SKETCH_WORDS = 8  # longs in a parity sketch
+
+
+def parity_sketches(sets: DataFrame) -> DataFrame:
+    """``(node, sketch)``: each item of ``(node, items)`` flips one of ``64 * SKETCH_WORDS`` bits.
+
+    Two sketches differ in no more bits than their sets differ in items, so
+    they rule pairs out without a loss.  A node without items has no row.
+    """
+    items = sets.select("node", F.explode("items").alias("h"))
+    word, bit = f"shiftrightunsigned(h, 6) & {SKETCH_WORDS - 1}", "shiftleft(1L, cast(h & 63 as int))"
+    words = [F.expr(f"bit_xor(if(({word}) = {w}, {bit}, 0L))").alias(f"w{w}") for w in range(SKETCH_WORDS)]
+    return items.groupBy("node").agg(*words).select("node", F.array(*(f"w{w}" for w in range(SKETCH_WORDS))).alias("sketch"))
 
 
 def residual_tiles(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -48,7 +61,8 @@ def residual_tiles(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataF
     about ``TILE_ITEMS`` items; two tiles are gathered in one row and compared
     there, and only distinct pairs of component labels leave it.  So a set is
     sent once for each tile it meets, not for each pair, and members of the
-    largest component are never compared with each other.
+    largest component are never compared with each other.  Sets are
+    intersected only where sizes and parity sketches leave the pair open.
     """
     counts = open_rows.groupBy("bucket", "c").agg(F.count("*").alias("n"))
     main = counts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("m")).select("bucket", F.col("m.c").alias("main"))
@@ -60,12 +74,14 @@ def residual_tiles(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataF
     rows = rows.join(tiles, "bucket").withColumns({"ta": F.expr("cast(pmod(xxhash64(node), na) as int)"), "ts": F.expr("cast(pmod(xxhash64(node), ns) as int)")})
     members = rows.select("bucket", "node", "c", F.lit(False).alias("stray"), "ta", F.explode(F.expr("sequence(0, ns - 1)")).alias("ts"))
     strays = rows.where("stray").select("bucket", "node", "c", "stray", F.explode(F.expr("sequence(0, na - 1)")).alias("ta"), "ts")
-    dealt = members.unionByName(strays).join(sets, "node")
-    of = lambda flag: F.collect_list(F.when(F.col("stray") == flag, F.struct("c", "items")))
+    dealt = members.unionByName(strays).join(sets.join(parity_sketches(sets), "node"), "node")
+    of = lambda flag: F.collect_list(F.when(F.col("stray") == flag, F.struct("c", "items", "sketch")))
     met = dealt.groupBy("bucket", "ta", "ts").agg(of(True).alias("strays"), of(False).alias("members"))
+    differ = " + ".join(f"bit_count(x.sketch[{w}] ^ y.sketch[{w}])" for w in range(SKETCH_WORDS))
     alike = (
         "y.c <> x.c AND 100 * least(size(x.items), size(y.items)) >= "
         f"{percent} * greatest(size(x.items), size(y.items)) AND "
+        f"{100 + percent} * ({differ}) <= {100 - percent} * (size(x.items) + size(y.items)) AND "
         f"{100 + percent} * size(array_intersect(x.items, y.items)) >= {percent} * (size(x.items) + size(y.items))"
     )
     edges = f"flatten(transform(strays, x -> transform(filter(members, y -> {alike}), y -> struct(least(x.c, y.c) AS a, greatest(x.c, y.c) AS b))))"
