@@ -9,7 +9,7 @@ import pytest
 from textmill.llm.decontaminate import contaminations, drop_contaminated
 from textmill.llm.embedding_dedup import embedding_components, linked_pairs, quantise
 from textmill.llm.graph import connected_components
-from textmill.llm.line_dedup import BANDS, SHINGLE, dedup_lines, line_report
+from textmill.llm.line_dedup import BANDS, BINS, SHINGLE, dedup_lines, line_report, line_signatures
 from textmill.llm.minhash_dedup import _linked, minhash_components, minhash_keep
 from textmill.llm.neardup import residual_tiles
 
@@ -173,6 +173,38 @@ def test_lines_match_brute_force(spark):
             assert kept[i] == want
 
 
+def sharing_a_band(spark, pairs):
+    """For each pair of lines, whether their signatures agree in all bins of a band."""
+    lines = sorted({line for pair in pairs for line in pair})
+    keys = {r.line: r.k for r in spark.createDataFrame([(x,) for x in lines], "line string").selectExpr("line", "xxhash64(line) AS k").collect()}
+    found = {r.k: [r[f"m{j}"] for j in range(BINS)] for r in line_signatures(spark.createDataFrame([(x,) for x in lines], "text string")).collect()}
+    sides = [(found.get(keys[a]), found.get(keys[b])) for a, b in pairs]
+    return np.array([bool(x and y) and any(all(x[j] == y[j] for j in band) for band in BANDS) for x, y in sides])
+
+
+def test_lines_of_unequal_length_share_a_band(spark):
+    rng = random.Random(11)
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    letters = sorted({line.strip(" \t\r") for r in real for line in (r.text or "").split("\n")})
+    letters = "".join(x for line in letters for x in line)
+    pairs = []
+    while len(pairs) < 600:
+        at = rng.randrange(len(letters) - 1300)
+        line = letters[at : at + rng.randrange(300, 1300)].strip(" \t\r")
+        short = line[: int(len(line) * 0.81)].strip(" \t\r")
+        if 0.8 <= len(line_set(short) & line_set(line)) / len(line_set(short) | line_set(line)) < 0.83:
+            pairs.append((line, short))
+    assert sharing_a_band(spark, pairs).mean() > 0.97
+
+
+def test_repetitive_lines_share_a_band(spark):
+    rng = random.Random(12)
+    phrases = ["".join(rng.choices("abcdefghij ", k=rng.randrange(20, 40))) + "." for _ in range(100)]
+    pairs = [(p * 12, p * rng.randrange(40, 120)) for p in phrases]
+    assert all(line_set(a.strip()) == line_set(b.strip()) for a, b in pairs)
+    assert sharing_a_band(spark, [(a.strip(), b.strip()) for a, b in pairs]).all()
+
+
 def test_line_edges(spark):
     rows = [(None, "a line that is long enough"), (2, "a line that is long enough"), (2, "a line that is long enough"), (3, "a line that is long enough\nb")]
     frame = docs(spark, rows)

@@ -12,8 +12,7 @@ SHINGLE = 10  # bytes of UTF-8
 PERCENT = 80
 MIN_CHARS = 16
 BINS = 16
-PER_BIN = 6  # shingles expected in a bin of the signature
-#: Bins read by each band; a pair at similarity 0.8 misses all eight with probability under 0.01.
+#: Bins read by each band; with independent bins a pair at similarity 0.8 misses all eight with probability 0.013.
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (12, 13, 14), (15, 0, 8), (3, 10, 14), (6, 1, 12))
 #: Equal bins of a pair worth verifying; at similarity 0.8 a pair has fewer with probability 0.0002.
 LEAST_AGREEING = 7
@@ -64,16 +63,13 @@ def _shingles(lines: DataFrame, *keep: str) -> DataFrame:
 def line_signatures(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``(k, m0 .. m15)`` for each distinct line: the smallest hash in each bin.
 
-    A line's shingles fall into bins by some bits of their hash.  Of a long
-    line only hashes under a limit are compared, on average ``PER_BIN`` for a
-    bin; the minimum is the same with the rest.  An empty bin takes the next
-    one's minimum.
+    All shingles of a line fall into bins by some bits of their hash, however
+    long the line is, so that lines of unlike lengths are compared by the same
+    minima.  An empty bin takes the next one's minimum.
     """
-    limit = F.expr(f"least(16777216L, {PER_BIN * BINS}L * 16777216L div n)")
-    hashed = _shingles(_lines(docs, text_col, min_chars).withColumn("most", limit), "k", "most")
-    used = hashed.where("(h & 16777215) < most")
-    value = F.expr("shiftrightunsigned(h, 28)")
-    minima = used.groupBy("k").agg(
+    hashed = _shingles(_lines(docs, text_col, min_chars), "k")
+    value = F.expr("cast(shiftright(h, 32) as int)")
+    minima = hashed.groupBy("k").agg(
         *(F.min(F.when(F.expr(f"(shiftrightunsigned(h, 24) & {BINS - 1}) = {j}"), value)).alias(f"m{j}") for j in range(BINS))
     )
     return minima.select("k", *(F.coalesce(*(F.col(f"m{(j + s) % BINS}") for s in range(BINS))).alias(f"m{j}") for j in range(BINS)))
