@@ -205,6 +205,19 @@ def test_repetitive_lines_share_a_band(spark):
     assert sharing_a_band(spark, [(a.strip(), b.strip()) for a, b in pairs]).all()
 
 
+def test_short_lines_are_matched_by_equality(spark, tmp_path):
+    import corpus_pipeline
+    from textmill.llm.queries import op3_line_dedup
+
+    rows = [(1, "Les.\na line of its own, not repeated\n"), (2, " Les.\r\nLes!\n \t\n"), (3, "x\nLes.\nx"), (4, "Les."), (5, "\n\n"), (6, "fifteen chars..\nfifteen chars.,"), (7, "fifteen chars..")]
+    frame = docs(spark, rows)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed for r in op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: [], 2: [0], 3: [1, 2], 4: [0], 5: [], 6: [], 7: [0]}
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, frame, str(tmp_path)).collect()}
+    assert left == {1: rows[0][1], 2: "Les!\n \t\n", 3: "x", 5: "\n\n", 6: rows[5][1]}
+
+
 def test_line_edges(spark):
     rows = [(None, "a line that is long enough"), (2, "a line that is long enough"), (2, "a line that is long enough"), (3, "a line that is long enough\nb")]
     frame = docs(spark, rows)

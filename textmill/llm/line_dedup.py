@@ -10,7 +10,7 @@ from textmill.llm.neardup import components, likely_pairs, residual_tiles
 
 SHINGLE = 10  # bytes of UTF-8
 PERCENT = 80
-MIN_CHARS = 16
+MIN_CHARS = 16  # characters of a line that is compared by its shingles
 BINS = 16
 #: Bins read by each band; with independent bins a pair at similarity 0.8 misses all eight with probability 0.013.
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (12, 13, 14), (15, 0, 8), (3, 10, 14), (6, 1, 12))
@@ -109,6 +109,7 @@ def removed_lines(
     text_col: str = "text",
     min_chars: int = MIN_CHARS,
     percent: int = PERCENT,
+    exact_chars: int | None = None,
 ) -> DataFrame:
     """``(doc_id, row_key, removed)``: positions of the lines to remove, for rows that have any.
 
@@ -116,11 +117,13 @@ def removed_lines(
     blanks, tabs and carriage returns.  Equal lines, and lines whose sets of
     ``SHINGLE``-byte shingles have a similarity of ``percent`` / 100, are in
     one component, of which the first line stays: the smallest doc_id (null
-    last), row key and position.  Lines under ``min_chars`` characters are not
-    judged.  Rows that repeat both id and text are treated alike.  Null and
+    last), row key and position.  Lines under ``min_chars`` characters are
+    compared by equality only, and not judged under ``exact_chars``, which is
+    ``min_chars`` if not given; 1 judges every line that is not blank.  Rows that repeat both id and text are treated alike.  Null and
     empty texts have no lines to remove; an empty table gives an empty result.
     """
-    where = materialize(_occurrences(docs, id_col, text_col, min_chars), "occurrences")
+    judged = min_chars if exact_chars is None else max(1, min(exact_chars, min_chars))
+    where = materialize(_occurrences(docs, id_col, text_col, judged), "occurrences")
     counts = where.groupBy("k").agg(F.count("*").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     repeated = counts.where("n > 1 and lo = hi").select("k", F.col("k").alias("c"), F.lit(0).alias("fuzzy"))
     near = line_components(docs, text_col, min_chars, percent)
@@ -143,6 +146,7 @@ def dedup_lines(
     min_chars: int = MIN_CHARS,
     percent: int = PERCENT,
     drop_emptied: bool = True,
+    exact_chars: int | None = None,
 ) -> DataFrame:
     """``docs`` without the lines of :func:`removed_lines`; the columns stay as they are.
 
@@ -150,7 +154,7 @@ def dedup_lines(
     lines elsewhere goes; rows that had no text before stay.
     """
     gone = fresh(docs, "removed")
-    found = removed_lines(docs, id_col, text_col, min_chars, percent).withColumnRenamed("removed", gone)
+    found = removed_lines(docs, id_col, text_col, min_chars, percent, exact_chars).withColumnRenamed("removed", gone)
     joined = join_on_row(docs, found, id_col, text_col, "left")
     rest = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (l, i) -> NOT array_contains(`{gone}`, i)), '\\n')")
     out = joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(rest))

@@ -30,7 +30,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents"))
+    return line_report(table(spark, sf_dir, "documents"), exact_chars=1)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
