@@ -205,6 +205,14 @@ def test_repetitive_lines_share_a_band(spark):
     assert sharing_a_band(spark, [(a.strip(), b.strip()) for a, b in pairs]).all()
 
 
+def test_lines_that_differ_by_a_character_are_linked(spark):
+    lines = ["The quick brown fox jumps over the lazy dog, once more.", "Готово: страница обновлена пятого числа этого месяца, да."]
+    rows = [(10 * n + i, line[:at] + x + line[at + 1 :]) for n, line in enumerate(lines) for i, (at, x) in enumerate([(0, line[0]), (27, "#"), (35, "7")])]
+    rows += [(90, "A line that is like none of the others, in any way at all.")]
+    got = {r.doc_id: r.n_removed for r in line_report(docs(spark, rows)).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 10: 0, 11: 1, 12: 1, 90: 0}
+
+
 def test_short_lines_are_matched_by_equality(spark, tmp_path):
     import corpus_pipeline
     from textmill.llm.queries import op3_line_dedup

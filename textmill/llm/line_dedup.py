@@ -6,14 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm.common import broadcast_if_small, fresh, join_on_row, materialize
-from textmill.llm.neardup import components, likely_pairs, residual_tiles
+from textmill.llm.neardup import components, likely_pairs, likely_rows, residual_tiles
 
-SHINGLE = 10  # bytes of UTF-8
+SHINGLE = 5  # characters (code points)
 PERCENT = 80
 MIN_CHARS = 16  # characters of a line that is compared by its shingles
 BINS = 16
-#: Bins read by each band; with independent bins a pair at similarity 0.8 misses all eight with probability 0.013.
-BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (12, 13, 14), (15, 0, 8), (3, 10, 14), (6, 1, 12))
+#: Bins read by each band: the 20 lines of the affine plane of order 4, of which no two share more than one bin.
+#: With independent bins a pair at similarity 0.8 misses all of them with probability 0.005.
+BANDS = (
+    (0, 4, 8, 12), (1, 5, 9, 13), (2, 6, 10, 14), (3, 7, 11, 15),
+    (0, 5, 10, 15), (1, 4, 11, 14), (2, 7, 8, 13), (3, 6, 9, 12),
+    (0, 6, 11, 13), (1, 7, 10, 12), (2, 4, 9, 15), (3, 5, 8, 14),
+    (0, 7, 9, 14), (1, 6, 8, 15), (2, 5, 11, 12), (3, 4, 10, 13),
+    (0, 1, 2, 3), (4, 5, 6, 7), (8, 9, 10, 11), (12, 13, 14, 15),
+)
 #: Equal bins of a pair worth verifying; at similarity 0.8 a pair has fewer with probability 0.0002.
 LEAST_AGREEING = 7
 #: Most candidate lines whose keys are broadcast (8 bytes each); beyond, a shuffled join.
@@ -39,25 +46,31 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 
 
 def _lines(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
-    """``(k, bytes, n)`` of each judged line and its number of shingles."""
+    """``(k, line, n)`` of each judged line and its number of shingles."""
     return (
         docs.select(F.explode(F.split(text_col, "\n")).alias("line"))
         .select(F.expr(_canonical("line")).alias("line"))
         .where(F.length("line") >= min_chars)
-        .select(F.xxhash64("line").alias("k"), F.col("line").cast("binary").alias("bytes"))
-        .withColumn("n", F.greatest(F.lit(1), F.octet_length("bytes") - (SHINGLE - 1)))
+        .select(F.xxhash64("line").alias("k"), "line", F.greatest(F.lit(1), F.length("line") - (SHINGLE - 1)).alias("n"))
     )
 
 
+def _shingle_at(units: str, i: str) -> str:
+    """SQL: the hash of a shingle of a line in UTF-32, where each character has four bytes and is found without a scan."""
+    return f"xxhash64(substring({units}, 4 * {i} - 3, {4 * SHINGLE}))"
+
+
 def _shingles(lines: DataFrame, *keep: str) -> DataFrame:
     """One row per shingle with its hash ``h``.
 
     Exploding positions keeps the hashing in generated code.  The partition
-    id, times zero, makes ``h`` non-deterministic for the optimizer, so that
-    filters and aggregates read it and do not hash again.
+    id makes ``units`` and ``h`` non-deterministic for the optimizer, so that
+    a line is encoded once, not for each shingle, and aggregates read ``h``
+    and do not hash again.
     """
-    placed = lines.select("bytes", *keep, F.explode(F.expr("sequence(1, n)")).alias("i"))
-    return placed.select(*keep, (F.xxhash64(F.expr(f"substring(bytes, i, {SHINGLE})")) + F.spark_partition_id() * 0).alias("h"))
+    units = F.expr("encode(if(spark_partition_id() < 0, '', line), 'UTF-32')")
+    placed = lines.select(units.alias("units"), "n", *keep).select("units", *keep, F.explode(F.expr("sequence(1, n)")).alias("i"))
+    return placed.select(*keep, (F.expr(_shingle_at("units", "i")) + F.spark_partition_id() * 0).alias("h"))
 
 
 def line_signatures(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -80,6 +93,7 @@ def line_components(docs: DataFrame, text_col: str = "text", min_chars: int = MI
     signatures = materialize(line_signatures(docs, text_col, min_chars), "lines")
     bands = [F.xxhash64(F.lit(i), *(F.col(f"m{j}") for j in picked)) for i, picked in enumerate(BANDS)]
     buckets = signatures.select(F.col("k").alias("node"), F.explode(F.array(*bands)).alias("bucket"))
+    buckets = buckets.repartition("bucket")  # one shuffle for both of its readers
     kept: list[DataFrame] = []
 
     def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -90,14 +104,15 @@ def line_components(docs: DataFrame, text_col: str = "text", min_chars: int = MI
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = broadcast_if_small(nodes.select(F.col("node").alias("k")), MAX_BROADCAST_KEYS)
-        found = _lines(docs, text_col, min_chars).join(wanted, "k", "left_semi").groupBy("k", "bytes", "n").agg(F.lit(1))
+        found = _lines(docs, text_col, min_chars).join(wanted, "k", "left_semi").groupBy("k", "line", "n").agg(F.lit(1))
         # the line is bound to a lambda's variable, which is passed on without a copy for each shingle
-        hashes = f"transform(array(bytes), b -> array_distinct(transform(sequence(1, n), i -> xxhash64(substring(b, i, {SHINGLE})))))[0]"
+        hashes = f"transform(array(encode(line, 'UTF-32')), b -> array_distinct(transform(sequence(1, n), i -> {_shingle_at('b', 'i')})))[0]"
         return found.select(F.col("k").alias("node"), F.expr(hashes).alias("items"))
 
     def residual(rows: DataFrame) -> DataFrame:
         # 31 bits tell the shingles of two lines apart nearly as well as 64 and halve what is sent
         short = F.expr("transform(items, h -> cast(h & 2147483647 as int))")
+        rows = materialize(likely_rows(rows, kept[0], LEAST_AGREEING), "likely")
         return residual_tiles(rows, materialize(sets_of(rows.select("node").distinct()).select("node", short.alias("items")), "sets"), percent)
 
     return components(buckets, sets_of, percent, residual, likely=likely)
@@ -115,7 +130,7 @@ def removed_lines(
 
     Lines are the parts of the text between newlines, compared without outer
     blanks, tabs and carriage returns.  Equal lines, and lines whose sets of
-    ``SHINGLE``-byte shingles have a similarity of ``percent`` / 100, are in
+    ``SHINGLE``-character shingles have a similarity of ``percent`` / 100, are in
     one component, of which the first line stays: the smallest doc_id (null
     last), row key and position.  Lines under ``min_chars`` characters are
     compared by equality only, and not judged under ``exact_chars``, which is

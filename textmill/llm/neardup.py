@@ -53,6 +53,28 @@ def parity_sketches(sets: DataFrame) -> DataFrame:
     return items.groupBy("node").agg(*words).select("node", F.array(*(f"w{w}" for w in range(SKETCH_WORDS))).alias("sketch"))
 
 
+def likely_rows(open_rows: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
+    """Rows ``(bucket, node, c)`` that some row of another component in the bucket agrees with in ``least`` places or more.
+
+    Only signatures ``(node, signature)`` are sent and compared, in tiles as
+    in :func:`residual_tiles`, so that whole sets are sent for these rows alone.
+    """
+    counts = open_rows.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    sums = counts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n"))
+    width = TILE_ITEMS // 16
+    main = sums.select("bucket", F.col("m.c").alias("main"), F.expr(f"cast(ceil(n / {width}) as int)").alias("na"), F.expr(f"cast(ceil((n - m.n) / {width}) as int)").alias("ns"))
+    rows = open_rows.join(main, "bucket").withColumn("stray", F.expr("c <> main"))
+    rows = rows.withColumns({"ta": F.expr("cast(pmod(xxhash64(node), na) as int)"), "ts": F.expr("cast(pmod(xxhash64(node), ns) as int)")})
+    members = rows.select("bucket", "node", "c", F.lit(False).alias("stray"), "ta", F.explode(F.expr("sequence(0, ns - 1)")).alias("ts"))
+    strays = rows.where("stray").select("bucket", "node", "c", "stray", F.explode(F.expr("sequence(0, na - 1)")).alias("ta"), "ts")
+    dealt = members.unionByName(strays).join(signatures, "node")
+    of = lambda flag: F.collect_list(F.when(F.col("stray") == flag, F.struct("node", "c", "signature")))
+    met = dealt.groupBy("bucket", "ta", "ts").agg(of(True).alias("strays"), of(False).alias("members"))
+    alike = f"x.c <> y.c AND {agreeing('x.signature', 'y.signature', least)}".replace("(x, y) -> x = y", "(p, q) -> p = q")
+    found = f"concat(filter(strays, x -> exists(members, y -> {alike})), filter(members, y -> exists(strays, x -> {alike})))"
+    return met.select("bucket", F.explode(F.expr(found)).alias("e")).select("bucket", "e.node", "e.c").distinct()
+
+
 def residual_tiles(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges ``(a, b)`` between the components of a bucket's ``(bucket, node, c)`` members whose sets are similar.
 
