@@ -71,6 +71,20 @@ def test_minhash_matches_brute_force(spark):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), component, component == i)
 
 
+def test_pipeline_links_documents_from_eighty_percent(spark, tmp_path):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(124)]  # 120 shingles
+    changed = lambda *places: " ".join("other" if i in places else w for i, w in enumerate(words))
+    rows = [(1, " ".join(words)), (2, changed(20, 60)), (3, changed(5, 40, 80, 100)), (4, None), (5, "none of these words")]
+    sets = {i: shingles(t) for i, t in rows}
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.8 <= share(1, 2) < 0.85 and max(share(1, 3), share(2, 3)) < 0.8
+    frame = docs(spark, rows)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, str(tmp_path)).collect()} == {1, 3, 4, 5}
+    assert {r.doc_id for r in minhash_keep(frame).collect()} == {1, 2, 3, 4, 5}
+
+
 def test_minhash_edges(spark):
     rows = [(5, "a b c d e f"), (5, "q r s t u v"), (3, "q r s t u v"), (None, "a b c d e f"), (None, None), (9, "a b c d e f"), (9, "a b c d e f")]
     got = minhash_components(docs(spark, rows)).collect()
