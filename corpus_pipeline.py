@@ -39,7 +39,11 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_documents(docs).select("doc_id", "n_tokens", "ids")
+    """Token ids; each text is decoded again, and the stage fails on one that does not come back."""
+    coded = encode_documents(docs, check=True)
+    lost = F.raise_error(F.concat(F.lit("ids do not decode to the text of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    ids = F.when(F.coalesce("round_trip", F.lit(True)), F.col("ids")).otherwise(lost)
+    return coded.select("doc_id", "n_tokens", ids.alias("ids"))
 
 
 STAGES = [
