@@ -2,120 +2,120 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import broadcast_if_small, fresh, join_on_row, materialize
-from textmill.llm.neardup import components, likely_pairs, likely_rows, residual_tiles
+from textmill.llm.common import broadcast_if_small, discard, fresh, join_on_row, materialize
+from textmill.llm.neardup import LANES, band_keys, components, packed
 
 SHINGLE = 5  # characters (code points)
 PERCENT = 80
 MIN_CHARS = 16  # characters of a line that is compared by its shingles
-BINS = 16
-#: Bins read by each band: the 20 lines of the affine plane of order 4, of which no two share more than one bin.
-#: With independent bins a pair at similarity 0.8 misses all of them with probability 0.005.
-BANDS = (
-    (0, 4, 8, 12), (1, 5, 9, 13), (2, 6, 10, 14), (3, 7, 11, 15),
-    (0, 5, 10, 15), (1, 4, 11, 14), (2, 7, 8, 13), (3, 6, 9, 12),
-    (0, 6, 11, 13), (1, 7, 10, 12), (2, 4, 9, 15), (3, 5, 8, 14),
-    (0, 7, 9, 14), (1, 6, 8, 15), (2, 5, 11, 12), (3, 4, 10, 13),
-    (0, 1, 2, 3), (4, 5, 6, 7), (8, 9, 10, 11), (12, 13, 14, 15),
-)
-#: Equal bins of a pair worth verifying; at similarity 0.8 a pair has fewer with probability 0.0002.
-LEAST_AGREEING = 7
-#: Most candidate lines whose keys are broadcast (8 bytes each); beyond, a shuffled join.
+CELLS, SIDE = 6, 8
+BINS = CELLS * SIDE
+#: Bins read by each band, a bin of each of six rows of eight.  At similarity 0.8 a pair with independent bins misses
+#: all of the bands with a probability under 0.02.
+BANDS = tuple(tuple(row * SIDE + (slope * row + start) % SIDE for row in range(CELLS)) for slope in range(3) for start in range(SIDE))[:18]
+#: Equal minima of a pair worth verifying; at similarity 0.8 a pair has fewer with probability 0.004.
+LEAST_AGREEING = 31
+#: Most line keys that are broadcast (8 bytes each); beyond, a shuffled join.
 MAX_BROADCAST_KEYS = 1_000_000
+#: A line of ``CROWDED`` shingles or more has some in most cells of 2 ** CELL_BITS hashes; from there on, each doubling
+#: halves the part of a cell that is looked at, at most ``MOST_HALVINGS`` times.
+CROWDED, CELL_BITS, MOST_HALVINGS, HEAD = 192, 56, 3, 64
 
 
-def _canonical(line: str) -> str:
-    return f"btrim({line}, ' \\t\\r\\n')"
-
-
-def _row_key(id_col: str, text_col: str) -> list[Column]:
-    return [F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key")]
+def _points() -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """A fixed point for each bin, in three of every four of 64 cells, and the nearest one to each cell."""
+    draw = random.Random(5)
+    cells = [cell for cell in range(64) if cell % 4 < 3]
+    points = {cell: (cell << CELL_BITS) + draw.getrandbits(CELL_BITS) for cell in cells}
+    return tuple(points.values()), tuple(points.get(cell, points[cell & ~1]) for cell in range(64))
 
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """``(doc_id, row_key, pos, k, check)`` of each line that is judged; no line's text is moved."""
-    keyed = f"transform(split(`{text_col}`, '\\n'), l -> struct(xxhash64({_canonical('l')}) AS k, hash({_canonical('l')}) AS check, length({_canonical('l')}) AS n))"
-    return (
-        docs.select(*_row_key(id_col, text_col), F.posexplode(F.expr(keyed)).alias("pos", "line"))
-        .where(F.col("line.n") >= min_chars)
-        .select("doc_id", "row_key", "pos", "line.k", "line.check")
-    )
+POINTS, CELL_POINTS = _points()
 
 
-def _lines(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
-    """``(k, line, n)`` of each judged line and its number of shingles."""
-    return (
-        docs.select(F.explode(F.split(text_col, "\n")).alias("line"))
-        .select(F.expr(_canonical("line")).alias("line"))
-        .where(F.length("line") >= min_chars)
-        .select(F.xxhash64("line").alias("k"), "line", F.greatest(F.lit(1), F.length("line") - (SHINGLE - 1)).alias("n"))
-    )
+def _canonical(line: str) -> str:
+    return f"btrim({line}, ' \\t\\r\\n')"
 
 
-def _shingle_at(units: str, i: str) -> str:
-    """SQL: the hash of a shingle of a line in UTF-32, where each character has four bytes and is found without a scan."""
-    return f"xxhash64(substring({units}, 4 * {i} - 3, {4 * SHINGLE}))"
+def _row_key(id_col: str, text_col: str) -> list[Column]:
+    return [F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key")]
 
 
-def _shingles(lines: DataFrame, *keep: str) -> DataFrame:
-    """One row per shingle with its hash ``h``.
+def _distinct_lines(docs: DataFrame, text_col: str, least_chars: int) -> DataFrame:
+    """``(k, line, weight)`` of each line of ``least_chars`` characters or more, with its number of occurrences.
 
-    Exploding positions keeps the hashing in generated code.  The partition
-    id makes ``units`` and ``h`` non-deterministic for the optimizer, so that
-    a line is encoded once, not for each shingle, and aggregates read ``h``
-    and do not hash again.
+    Copies are combined before the shuffle.  If two lines share a key, their
+    weight is 1 and the key stands for the smaller one alone.
     """
+    lines = docs.select(F.explode(F.split(text_col, "\n")).alias("line")).select(F.expr(_canonical("line")).alias("line"))
+    keyed = lines.where(F.length("line") >= least_chars).select(F.xxhash64("line").alias("k"), F.hash("line").alias("check"), "line")
+    counts = keyed.groupBy("k").agg(F.min("line").alias("line"), F.count("*").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    return counts.select("k", "line", F.expr("if(lo = hi, n, 1)").alias("weight"))
+
+
+def _minima(lines: DataFrame, min_chars: int) -> DataFrame:
+    """``(k, weight, fuzzy, m0, m1, ...)`` for ``(k, line, weight)``: the shingle hash nearest to a fixed point of each bin.
+
+    A bin's point lies in a cell of its own; a line's minimum is the distance
+    (exclusive or) of its nearest hash, in the cell or else in one nearby, so
+    no bin is empty.  Where a line has so many shingles that each cell holds
+    some, only those near the cells' points can be nearest and go on to the
+    aggregation: a hash that is left out changes a minimum only where its
+    cell keeps none, and then for all lines of such a length alike.  The first
+    ``HEAD`` shingles always go on, for lines that repeat a few shingles.
+
+    Exploding positions keeps the hashing in generated code; in UTF-32 each
+    character has four bytes and is found without a scan.  The partition id
+    makes ``units`` and ``h`` non-deterministic for the optimizer, so that a
+    line is encoded once, not for each shingle, and aggregates read ``h`` and
+    do not hash again.
+    """
+    n = F.greatest(F.lit(1), F.length("line") - (SHINGLE - 1))
     units = F.expr("encode(if(spark_partition_id() < 0, '', line), 'UTF-32')")
-    placed = lines.select(units.alias("units"), "n", *keep).select("units", *keep, F.explode(F.expr("sequence(1, n)")).alias("i"))
-    return placed.select(*keep, (F.expr(_shingle_at("units", "i")) + F.spark_partition_id() * 0).alias("h"))
+    near = F.expr(f"if(n < {CROWDED}, {1 << 62}L, shiftright({1 << CELL_BITS}L, least({MOST_HALVINGS}, cast(floor(log2(n / {CROWDED}.0)) as int))))")
+    sized = lines.select("k", "weight", (F.length("line") >= min_chars).alias("fuzzy"), units.alias("units"), n.alias("n"))
+    placed = sized.select("k", "weight", "fuzzy", "units", near.alias("near"), F.explode(F.expr("sequence(1, n)")).alias("i"))
+    h = F.expr(f"xxhash64(substring(units, 4 * i - 3, {4 * SHINGLE})) & {(1 << 62) - 1}L") + F.spark_partition_id() * 0
+    own = F.expr(f"array({', '.join(f'{p}L' for p in CELL_POINTS)})[cast(shiftright(h, {CELL_BITS}) as int)]")
+    hashed = placed.select("k", "weight", "fuzzy", "i", "near", h.alias("h")).where((F.col("i") <= HEAD) | (F.col("h").bitwiseXOR(own) < F.col("near")))
+    minima = [F.min(F.expr(f"h ^ {p}L")).alias(f"m{j}") for j, p in enumerate(POINTS)]
+    return hashed.groupBy("k", "weight", "fuzzy").agg(*minima)
 
 
 def line_signatures(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(k, m0 .. m15)`` for each distinct line: the smallest hash in each bin.
+    """``(k, m0, m1, ...)`` for each distinct line: its ``BINS`` minima over shingles."""
+    return _minima(_distinct_lines(docs, text_col, min_chars), min_chars).drop("weight", "fuzzy")
 
-    All shingles of a line fall into bins by some bits of their hash, however
-    long the line is, so that lines of unlike lengths are compared by the same
-    minima.  An empty bin takes the next one's minimum.
-    """
-    hashed = _shingles(_lines(docs, text_col, min_chars), "k")
-    value = F.expr("cast(shiftright(h, 32) as int)")
-    minima = hashed.groupBy("k").agg(
-        *(F.min(F.when(F.expr(f"(shiftrightunsigned(h, 24) & {BINS - 1}) = {j}"), value)).alias(f"m{j}") for j in range(BINS))
+
+def _places(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, least_chars: int) -> DataFrame:
+    """``(doc_id, row_key, pos, k, line)`` of each occurrence of a ``wanted`` ``(k, text)`` line; ``line`` is null without ``text``."""
+    placed = (
+        docs.select(*_row_key(id_col, text_col), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+        .withColumn("line", F.expr(_canonical("line")))
+        .where(F.length("line") >= least_chars)
+        .withColumn("k", F.xxhash64("line"))
     )
-    return minima.select("k", *(F.coalesce(*(F.col(f"m{(j + s) % BINS}") for s in range(BINS))).alias(f"m{j}") for j in range(BINS)))
-
-
-def line_components(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS, percent: int = PERCENT) -> DataFrame:
-    """``(node, component)`` over line keys of different lines that are near-duplicates."""
-    signatures = materialize(line_signatures(docs, text_col, min_chars), "lines")
-    bands = [F.xxhash64(F.lit(i), *(F.col(f"m{j}") for j in picked)) for i, picked in enumerate(BANDS)]
-    buckets = signatures.select(F.col("k").alias("node"), F.explode(F.array(*bands)).alias("bucket"))
-    buckets = buckets.repartition("bucket")  # one shuffle for both of its readers
-    kept: list[DataFrame] = []
-
-    def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        wanted = broadcast_if_small(nodes, MAX_BROADCAST_KEYS)
-        own = signatures.select(F.col("k").alias("node"), F.array(*(f"m{j}" for j in range(BINS))).alias("signature"))
-        kept.append(materialize(own.join(wanted, "node", "left_semi"), "signatures"))
-        return likely_pairs(pairs, kept[0], LEAST_AGREEING)
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = broadcast_if_small(nodes.select(F.col("node").alias("k")), MAX_BROADCAST_KEYS)
-        found = _lines(docs, text_col, min_chars).join(wanted, "k", "left_semi").groupBy("k", "line", "n").agg(F.lit(1))
-        # the line is bound to a lambda's variable, which is passed on without a copy for each shingle
-        hashes = f"transform(array(encode(line, 'UTF-32')), b -> array_distinct(transform(sequence(1, n), i -> {_shingle_at('b', 'i')})))[0]"
-        return found.select(F.col("k").alias("node"), F.expr(hashes).alias("items"))
+    found = placed.join(broadcast_if_small(wanted, MAX_BROADCAST_KEYS), "k")
+    return found.select("doc_id", "row_key", "pos", "k", F.when(F.col("text"), F.col("line")).alias("line"))
+
 
-    def residual(rows: DataFrame) -> DataFrame:
-        # 31 bits tell the shingles of two lines apart nearly as well as 64 and halve what is sent
-        short = F.expr("transform(items, h -> cast(h & 2147483647 as int))")
-        rows = materialize(likely_rows(rows, kept[0], LEAST_AGREEING), "likely")
-        return residual_tiles(rows, materialize(sets_of(rows.select("node").distinct()).select("node", short.alias("items")), "sets"), percent)
+def _similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of the ``pairs`` ``(a, b)`` whose lines' whole sets of shingles are similar enough; ``texts`` is ``(k, line)``."""
+    one = texts.select(F.col("k").alias("a"), F.col("line").alias("la"))
+    two = texts.select(F.col("k").alias("b"), F.col("line").alias("lb"))
+
+    def shingles(line: str) -> str:
+        # the line is bound to a lambda's variable, which is passed on without a copy for each shingle
+        each = f"xxhash64(substring(u, 4 * i - 3, {4 * SHINGLE}))"
+        return f"transform(array(encode({line}, 'UTF-32')), u -> array_distinct(transform(sequence(1, greatest(1, length({line}) - {SHINGLE - 1})), i -> {each})))[0]"
 
-    return components(buckets, sets_of, percent, residual, likely=likely)
+    met = pairs.join(two, "b").join(one, "a").select("a", "b", F.expr(shingles("la")).alias("sa"), F.expr(shingles("lb")).alias("sb"))
+    return met.where(f"{100 + percent} * size(array_intersect(sa, sb)) >= {percent} * (size(sa) + size(sb))").select("a", "b")
 
 
 def removed_lines(
@@ -134,20 +134,43 @@ def removed_lines(
     one component, of which the first line stays: the smallest doc_id (null
     last), row key and position.  Lines under ``min_chars`` characters are
     compared by equality only, and not judged under ``exact_chars``, which is
-    ``min_chars`` if not given; 1 judges every line that is not blank.  Rows that repeat both id and text are treated alike.  Null and
-    empty texts have no lines to remove; an empty table gives an empty result.
+    ``min_chars`` if not given; 1 judges every line that is not blank.  Rows
+    that repeat both id and text are treated alike.  Null and empty texts have
+    no lines to remove; an empty table gives an empty result.
     """
     judged = min_chars if exact_chars is None else max(1, min(exact_chars, min_chars))
-    where = materialize(_occurrences(docs, id_col, text_col, judged), "occurrences")
-    counts = where.groupBy("k").agg(F.count("*").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-    repeated = counts.where("n > 1 and lo = hi").select("k", F.col("k").alias("c"), F.lit(0).alias("fuzzy"))
-    near = line_components(docs, text_col, min_chars, percent)
+    minima = _minima(_distinct_lines(docs, text_col, judged), min_chars)
+    words = [F.expr(word).alias(f"s{i}") for i, word in enumerate(packed([f"m{j}" for j in range(BINS)]))]
+    signatures = materialize(minima.select(F.col("k").alias("node"), "weight", "fuzzy", *words), "lines")
+    repeated = signatures.where("weight > 1").select(F.col("node").alias("k"))
+    placed: list[DataFrame] = []
+    texts: list[DataFrame] = []
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+        if texts:
+            ends = ends.join(texts[0].select("k"), "k", "left_anti")
+        wanted = ends.withColumn("text", F.lit(True))
+        if not placed:  # one scan serves the repeated lines too
+            wanted = wanted.unionByName(repeated.withColumn("text", F.lit(False))).groupBy("k").agg(F.max("text").alias("text"))
+        wanted = materialize(wanted, "wanted")
+        placed.append(materialize(_places(docs, id_col, text_col, wanted, judged), "places"))
+        found = placed[-1].where("line is not null").groupBy("k").agg(F.min("line").alias("line"))
+        known = found if not texts else texts[0].unionByName(found)
+        texts.append(known)
+        discard(wanted)
+        return _similar(pairs, known, percent)
+
+    near = components(signatures.where("fuzzy").drop("fuzzy"), band_keys(BANDS), LEAST_AGREEING + -BINS % LANES, verify)
     ends = near.select(F.col("node").alias("k"), F.col("component").alias("c")).unionByName(
         near.select(F.col("component").alias("k"), F.col("component").alias("c"))
     )
-    groups = repeated.unionByName(ends.distinct().withColumn("fuzzy", F.lit(1)))
+    groups = repeated.select("k", F.col("k").alias("c"), F.lit(0).alias("fuzzy")).unionByName(ends.distinct().withColumn("fuzzy", F.lit(1)))
     groups = groups.groupBy("k").agg(F.max_by("c", "fuzzy").alias("c"))
-    hits = materialize(where.join(groups, "k").select("c", "doc_id", "row_key", "pos"), "hits")
+    where = placed[0] if len(placed) == 1 else placed[0].unionByName(placed[1])
+    hits = materialize(where.drop("line").join(groups, "k").select("c", "doc_id", "row_key", "pos"), "hits")
+    for done in (signatures, *placed):
+        discard(done)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "pos")
     first = hits.groupBy("c").agg(F.min(place).alias("first"))
     gone = hits.join(first, "c").where(~place.eqNullSafe(F.col("first")))

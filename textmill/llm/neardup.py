@@ -1,15 +1,49 @@
-"""From hash buckets to verified near-duplicate components."""
+"""From packed MinHash signatures to verified near-duplicate components."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import materialize
+from textmill.llm.common import discard, materialize, small_enough
 from textmill.llm.graph import connected_components
 
+LANES = 7  # minima in a word of a signature, seven bits of each in a byte
+_TOPS = int("80" * LANES, 16)
+#: A bucket is hot if a sample of ``SAMPLE`` signatures holds ``HOT`` of its members, so hot buckets are few at any size.
+SAMPLE, HOT = 200_000, 64
+
+
+def packed(minima: Sequence[str]) -> list[str]:
+    """SQL of the words of a signature from that of its minima."""
+    lanes = [f"shiftleft({m} & 127, {8 * (i % LANES)})" for i, m in enumerate(minima)]
+    return [" | ".join(lanes[i : i + LANES]) for i in range(0, len(lanes), LANES)]
+
+
+def band_keys(bands: Sequence[Sequence[int]]) -> list[str]:
+    """SQL of a hash of each band's minima, from the words ``s0, s1, ...``."""
+    keys = []
+    for number, band in enumerate(bands):
+        masks: dict[int, int] = {}
+        for i in band:
+            masks[i // LANES] = masks.get(i // LANES, 0) | 127 << 8 * (i % LANES)
+        keys.append(f"xxhash64({number}, " + ", ".join(f"s{w} & {mask}L" for w, mask in sorted(masks.items())) + ")")
+    return keys
+
+
+def words_of(signatures: DataFrame) -> list[str]:
+    return [c for c in signatures.columns if c[0] == "s" and c[1:].isdigit()]
+
+
+def agreeing(one: str, two: str, words: Sequence[str]) -> str:
+    """SQL: how many minima of two signatures are equal (in the bits kept); unused lanes count as equal.
+
+    The top bit of a byte survives the subtraction only where the bytes are equal.
+    """
+    return " + ".join(f"bit_count(({_TOPS}L - ({one}.{w} ^ {two}.{w})) & {_TOPS}L)" for w in words)
+
 
 def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` whose full sets have ``100 * |A and B| >= percent * |A or B|``.
@@ -25,126 +59,102 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return scored.where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).select("a", "b").distinct()
 
 
-def agreeing(one: str, two: str, least: int) -> str:
-    """SQL: two signatures have at least ``least`` equal values in the same places."""
-    return f"size(filter(zip_with({one}, {two}, (x, y) -> x = y), e -> e)) >= {least}"
-
-
 def likely_pairs(pairs: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
-    """Pairs whose ``signatures`` ``(node, signature)`` agree in ``least`` places or more."""
-    left = signatures.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
-    right = signatures.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").where(F.expr(agreeing("sa", "sb", least))).select("a", "b")
-
-
-TILE_ITEMS = 20_000  # items in a tile, on average; a row of the comparison holds two tiles
-SKETCH_WORDS = 8  # longs in a parity sketch
+    """Pairs ``(a, b)`` whose signatures agree in ``least`` minima or more."""
+    words = words_of(signatures)
+    left = signatures.select(F.col("node").alias("a"), *(F.col(w).alias(f"{w}_") for w in words))
+    right = signatures.select(F.col("node").alias("b"), *words)
+    joined = pairs.join(left, "a").join(right, "b")
+    same = agreeing("x", "y", words).replace("y.", "").replace("x.", "")
+    for w in words:
+        same = same.replace(f"({w} ^ {w})", f"({w}_ ^ {w})")
+    return joined.where(F.expr(f"{same} >= {least}")).select("a", "b")
 
 
-def parity_sketches(sets: DataFrame) -> DataFrame:
-    """``(node, sketch)``: each item of ``(node, items)`` flips one of ``64 * SKETCH_WORDS`` bits.
-
-    Two sketches differ in no more bits than their sets differ in items, so
-    they rule pairs out without a loss.  A node without items has no row.
-    """
-    items = sets.select("node", F.explode("items").alias("h"))
-    word, bit = f"shiftrightunsigned(h, 6) & {SKETCH_WORDS - 1}", "shiftleft(1L, cast(h & 63 as int))"
-    words = [F.expr(f"bit_xor(if(({word}) = {w}, {bit}, 0L))").alias(f"w{w}") for w in range(SKETCH_WORDS)]
-    return items.groupBy("node").agg(*words).select("node", F.array(*(f"w{w}" for w in range(SKETCH_WORDS))).alias("sketch"))
+def _place(weight: str, node: str) -> str:
+    """SQL: heavier nodes first, then by some bits of their ids."""
+    return f"shiftleft(least({weight}, {1 << 22}), 40) | ({node} & {(1 << 40) - 1})"
 
 
-def likely_rows(open_rows: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
-    """Rows ``(bucket, node, c)`` that some row of another component in the bucket agrees with in ``least`` places or more.
+def bucket_heads(signatures: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(bucket, node, head)`` of each bucket of two nodes or more; its head is its heaviest node.
 
-    Only signatures ``(node, signature)`` are sent and compared, in tiles as
-    in :func:`residual_tiles`, so that whole sets are sent for these rows alone.
+    Each node goes to the buckets ``keys``, and one shuffle of them serves the
+    aggregation and the join.  Hot buckets, found in a sample of bounded size,
+    are left out of it: their heads come from partial aggregates and are
+    broadcast, so that no task holds a hot bucket.
     """
-    counts = open_rows.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    sums = counts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n"))
-    width = TILE_ITEMS // 16
-    main = sums.select("bucket", F.col("m.c").alias("main"), F.expr(f"cast(ceil(n / {width}) as int)").alias("na"), F.expr(f"cast(ceil((n - m.n) / {width}) as int)").alias("ns"))
-    rows = open_rows.join(main, "bucket").withColumn("stray", F.expr("c <> main"))
-    rows = rows.withColumns({"ta": F.expr("cast(pmod(xxhash64(node), na) as int)"), "ts": F.expr("cast(pmod(xxhash64(node), ns) as int)")})
-    members = rows.select("bucket", "node", "c", F.lit(False).alias("stray"), "ta", F.explode(F.expr("sequence(0, ns - 1)")).alias("ts"))
-    strays = rows.where("stray").select("bucket", "node", "c", "stray", F.explode(F.expr("sequence(0, na - 1)")).alias("ta"), "ts")
-    dealt = members.unionByName(strays).join(signatures, "node")
-    of = lambda flag: F.collect_list(F.when(F.col("stray") == flag, F.struct("node", "c", "signature")))
-    met = dealt.groupBy("bucket", "ta", "ts").agg(of(True).alias("strays"), of(False).alias("members"))
-    alike = f"x.c <> y.c AND {agreeing('x.signature', 'y.signature', least)}".replace("(x, y) -> x = y", "(p, q) -> p = q")
-    found = f"concat(filter(strays, x -> exists(members, y -> {alike})), filter(members, y -> exists(strays, x -> {alike})))"
-    return met.select("bucket", F.explode(F.expr(found)).alias("e")).select("bucket", "e.node", "e.c").distinct()
-
-
-def residual_tiles(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges ``(a, b)`` between the components of a bucket's ``(bucket, node, c)`` members whose sets are similar.
-
-    Strays, the members outside a bucket's most frequent component, are
-    compared with all its members.  Both are dealt by a hash into tiles of
-    about ``TILE_ITEMS`` items; two tiles are gathered in one row and compared
-    there, and only distinct pairs of component labels leave it.  So a set is
-    sent once for each tile it meets, not for each pair, and members of the
-    largest component are never compared with each other.  Sets are
-    intersected only where sizes and parity sketches leave the pair open.
+    listed = F.explode(F.expr(f"array({', '.join(keys)})")).alias("bucket")
+    members = signatures.select("node", "weight", listed)
+    total = signatures.count()
+    some = signatures if total <= SAMPLE else signatures.sample(SAMPLE / total, 1)
+    hot = materialize(some.select(listed).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("bucket"), "hot")
+
+    def heads(rows: DataFrame) -> DataFrame:
+        place = F.expr(_place("weight", "node"))
+        found = rows.groupBy("bucket").agg(F.max_by("node", place).alias("head"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+        return found.where("lo < hi").select("bucket", "head")
+
+    cold = members.join(F.broadcast(hot), "bucket", "left_anti").repartition("bucket")
+    out = cold.join(heads(cold), "bucket").select("bucket", "node", "head")
+    crowded = members.join(F.broadcast(hot), "bucket", "left_semi")
+    out = out.unionByName(crowded.join(F.broadcast(heads(crowded)), "bucket").select("bucket", "node", "head"))
+    return out
+
+
+def strays_and_members(open_rows: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of a bucket's ``(bucket, node, c)`` members in different components that agree in ``least`` minima or more.
+
+    One of the pair is a stray, a member outside the bucket's most frequent
+    component, so members of a hot bucket's main component never meet each
+    other.  Signatures are compared in the join itself; a hot bucket's two
+    sides can be split.
     """
+    words = words_of(signatures)
     counts = open_rows.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    main = counts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("m")).select("bucket", F.col("m.c").alias("main"))
-    sized = sets.select("node", F.size("items").alias("n"))
-    rows = open_rows.join(main, "bucket").join(sized, "node").withColumn("stray", F.expr("c <> main"))
-    tiles = rows.groupBy("bucket").agg(
-        F.ceil(F.sum("n") / TILE_ITEMS).cast("int").alias("na"), F.ceil(F.sum(F.expr("if(stray, n, 0)")) / TILE_ITEMS).cast("int").alias("ns")
-    )
-    rows = rows.join(tiles, "bucket").withColumns({"ta": F.expr("cast(pmod(xxhash64(node), na) as int)"), "ts": F.expr("cast(pmod(xxhash64(node), ns) as int)")})
-    members = rows.select("bucket", "node", "c", F.lit(False).alias("stray"), "ta", F.explode(F.expr("sequence(0, ns - 1)")).alias("ts"))
-    strays = rows.where("stray").select("bucket", "node", "c", "stray", F.explode(F.expr("sequence(0, na - 1)")).alias("ta"), "ts")
-    dealt = members.unionByName(strays).join(sets.join(parity_sketches(sets), "node"), "node")
-    of = lambda flag: F.collect_list(F.when(F.col("stray") == flag, F.struct("c", "items", "sketch")))
-    met = dealt.groupBy("bucket", "ta", "ts").agg(of(True).alias("strays"), of(False).alias("members"))
-    differ = " + ".join(f"bit_count(x.sketch[{w}] ^ y.sketch[{w}])" for w in range(SKETCH_WORDS))
-    alike = (
-        "y.c <> x.c AND 100 * least(size(x.items), size(y.items)) >= "
-        f"{percent} * greatest(size(x.items), size(y.items)) AND "
-        f"{100 + percent} * ({differ}) <= {100 - percent} * (size(x.items) + size(y.items)) AND "
-        f"{100 + percent} * size(array_intersect(x.items, y.items)) >= {percent} * (size(x.items) + size(y.items))"
-    )
-    edges = f"flatten(transform(strays, x -> transform(filter(members, y -> {alike}), y -> struct(least(x.c, y.c) AS a, greatest(x.c, y.c) AS b))))"
-    return met.select(F.explode(F.array_distinct(F.expr(edges))).alias("e")).select("e.a", "e.b").distinct()
+    main = counts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+    signed = open_rows.join(signatures.select("node", *words), "node").join(main, "bucket")
+    y = signed.alias("y")
+    x = signed.where("c <> main").alias("x")
+    met = "x.bucket = y.bucket AND x.c <> y.c AND (y.c = y.main OR x.node < y.node)"
+    pairs = x.join(y, F.expr(f"{met} AND {agreeing('x', 'y', words)} >= {least}"))
+    return pairs.select(F.expr("least(x.node, y.node) AS a"), F.expr("greatest(x.node, y.node) AS b")).distinct()
 
 
 def components(
-    buckets: DataFrame,
-    sets_of: Callable[[DataFrame], DataFrame],
-    percent: int,
-    residual: Callable[[DataFrame], DataFrame],
+    signatures: DataFrame,
+    keys: Sequence[str],
+    least: int,
+    verify: Callable[[DataFrame], DataFrame],
     extra_edges: DataFrame | None = None,
-    likely: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Components ``(node, component)`` of the links found in ``buckets`` ``(bucket, node)``.
+    """Components ``(node, component)`` of the verified links among ``signatures`` ``(node, weight, s0, s1, ...)``.
 
-    1. Each member of a bucket is compared with the bucket's smallest node
-       (as many pairs as members, found by aggregation and a join, so a hot
-       bucket is never gathered in one task).  ``likely(pairs, nodes)`` may
-       drop pairs that cannot be similar.
-    2. Only members that share a bucket but are still in different components
-       are compared with each other, by ``residual(open_rows)``.  Pairs within
-       a component are never looked at.
+    1. Each member of a bucket is compared with the bucket's heaviest node:
+       as many pairs as members.
+    2. Members that share a bucket but are still in different components are
+       compared with each other; pairs within a component never are.
 
-    All comparisons are exact, on the sets that ``sets_of(nodes)`` returns.
+    Pairs whose signatures agree in fewer than ``least`` minima are dropped,
+    the others go once to ``verify(pairs)``, which returns those that are links.
     """
-    heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail")
-    shared = materialize(buckets.join(heads.select("bucket", "head"), "bucket").select("bucket", "node", "head"), "buckets")
-    stars = shared.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    if likely is not None:
-        stars = likely(stars, shared.select("node").distinct())
-    stars = materialize(stars, "pairs")
-    ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    known = materialize(verified_pairs(stars, sets_of(ends), percent), "links")
-    if extra_edges is not None:
-        known = known.unionByName(extra_edges.select("a", "b"))
+    shared = materialize(bucket_heads(signatures, keys), "buckets")
+    stars = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    stars = materialize(likely_pairs(stars, signatures, least), "pairs")
+    links = materialize(verify(stars), "links")
+    known = links if extra_edges is None else links.unionByName(extra_edges.select("a", "b"))
     labels = connected_components(known)
 
     labelled = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
     mixed = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
     open_rows = materialize(labelled.join(mixed, "bucket", "left_semi"), "open")
-    if open_rows.limit(1).count() == 0:
+    discard(shared)
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = materialize(strays_and_members(open_rows, signatures, least).join(tried, ["a", "b"], "left_anti"), "pairs")
+    discard(open_rows)
+    discard(stars)
+    if small_enough(more, 0):
         return labels
-    return connected_components(known.unionByName(residual(open_rows).select("a", "b")))
+    found = materialize(verify(more), "links")
+    discard(more)
+    return connected_components(known.unionByName(found))
