@@ -27,15 +27,9 @@ MAX_BROADCAST_KEYS = 1_000_000
 CROWDED, CELL_BITS, MOST_HALVINGS, HEAD = 192, 56, 3, 64
 
 
-def _points() -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """A fixed point for each bin, in three of every four of 64 cells, and the nearest one to each cell."""
-    draw = random.Random(5)
-    cells = [cell for cell in range(64) if cell % 4 < 3]
-    points = {cell: (cell << CELL_BITS) + draw.getrandbits(CELL_BITS) for cell in cells}
-    return tuple(points.values()), tuple(points.get(cell, points[cell & ~1]) for cell in range(64))
-
-
-POINTS, CELL_POINTS = _points()
+CELL_STEP = random.Random(5).getrandbits(CELL_BITS - 6) | 1
+#: The fixed point of each bin, in a cell of its own.
+POINTS = tuple((cell << CELL_BITS) + cell * CELL_STEP for cell in range(BINS))
 
 
 def _canonical(line: str) -> str:
@@ -77,12 +71,16 @@ def _minima(lines: DataFrame, min_chars: int) -> DataFrame:
     """
     n = F.greatest(F.lit(1), F.length("line") - (SHINGLE - 1))
     units = F.expr("encode(if(spark_partition_id() < 0, '', line), 'UTF-32')")
-    near = F.expr(f"if(n < {CROWDED}, {1 << 62}L, shiftright({1 << CELL_BITS}L, least({MOST_HALVINGS}, cast(floor(log2(n / {CROWDED}.0)) as int))))")
+    once = F.spark_partition_id() * 0
+    steps = " ".join(f"WHEN n < {CROWDED << halved} THEN {1 << CELL_BITS - halved + 1}L" for halved in range(1, MOST_HALVINGS + 1))
+    near = F.expr(f"CASE WHEN n < {CROWDED} THEN {1 << CELL_BITS}L {steps} ELSE {1 << CELL_BITS - MOST_HALVINGS}L END") + once
     sized = lines.select("k", "weight", (F.length("line") >= min_chars).alias("fuzzy"), units.alias("units"), n.alias("n"))
-    placed = sized.select("k", "weight", "fuzzy", "units", near.alias("near"), F.explode(F.expr("sequence(1, n)")).alias("i"))
-    h = F.expr(f"xxhash64(substring(units, 4 * i - 3, {4 * SHINGLE})) & {(1 << 62) - 1}L") + F.spark_partition_id() * 0
-    own = F.expr(f"array({', '.join(f'{p}L' for p in CELL_POINTS)})[cast(shiftright(h, {CELL_BITS}) as int)]")
-    hashed = placed.select("k", "weight", "fuzzy", "i", "near", h.alias("h")).where((F.col("i") <= HEAD) | (F.col("h").bitwiseXOR(own) < F.col("near")))
+    sized = sized.select("*", near.alias("near"))
+    placed = sized.select("k", "weight", "fuzzy", "units", "near", F.explode(F.expr("sequence(1, n)")).alias("i"))
+    hashed = placed.select("k", "weight", "fuzzy", "i", "near", (F.expr(f"xxhash64(substring(units, 4 * i - 3, {4 * SHINGLE}))") + once).alias("x"))
+    cell = f"shiftright((x & 255) * {BINS}, 8)"
+    hashed = hashed.select("k", "weight", "fuzzy", "i", "near", (F.expr(f"shiftleft({cell}, {CELL_BITS}) | shiftrightunsigned(x, 8)") + once).alias("h"))
+    hashed = hashed.where(f"i <= {HEAD} OR (h ^ shiftright(h, {CELL_BITS}) * {CELL_STEP}L) & {(1 << CELL_BITS) - 1}L < near")
     minima = [F.min(F.expr(f"h ^ {p}L")).alias(f"m{j}") for j, p in enumerate(POINTS)]
     return hashed.groupBy("k", "weight", "fuzzy").agg(*minima)
 
