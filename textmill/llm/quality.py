@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,13 @@ from textmill.llm.shingles import slices
 from textmill.llm.tokens import DIGIT, LETTER, OTHER, tokenize
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 32, 4, 2
-MAX_FIT_DOCS, HIDDEN, EPOCHS, SEED = 12_000, 32, 30, 7
+MAX_FIT_DOCS, HIDDEN, EPOCHS, LEAST_STEPS, SEED = 12_000, 32, 30, 600, 7
 LAGS = (1, 2, 3)
-FEATURES = 2 * DIM + 1 + len(LAGS)
+FEATURES = 2 * DIM + 1 + 2 * len(LAGS)
 KEEP_FROM = 0.3
 
 
+@lru_cache(maxsize=1)
 def index_vectors() -> np.ndarray:
     """A fixed sparse vector of +1 and -1 for each bucket of words."""
     draw = np.random.default_rng(SEED)
@@ -75,7 +77,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         .agg(F.sum("n").alias("n"), *(F.sum(f"v{k}").alias(f"v{k}") for k in range(DIM)))
         .toArrow()
     )
-    out = index_vectors()
+    out = index_vectors().copy()
     at = summed["bucket"].to_numpy()
     mean = np.stack([summed[f"v{k}"].to_numpy() for k in range(DIM)], axis=1) / np.maximum(summed["n"].to_numpy(), 1)[:, None]
     out[at] += mean.astype(np.float32)
@@ -83,7 +85,12 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def pool(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
-    """Pooled word vectors of each text: mean, spread, mean cosine of words ``LAGS`` apart, and length; zeros for no words."""
+    """Pooled word vectors of each text; zeros for no words.
+
+    Mean, spread, length, and the mean cosine of words ``LAGS`` apart, of the
+    vectors and of the index vectors alone: the latter say whether words are
+    repeated, which the shared contexts of the former blur.
+    """
     words, owner = _buckets(texts)
     n = np.bincount(owner, minlength=len(texts))
     out = np.zeros((len(texts), FEATURES), np.float64)
@@ -96,12 +103,13 @@ def pool(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
         out[some, :DIM] = mean
         out[some, DIM : 2 * DIM] = np.sqrt(np.maximum(square - mean * mean, 0))
         out[some, 2 * DIM] = np.log1p(n[some]) / 10
-        norm = np.sqrt((own * own).sum(axis=1)) + 1e-9
-        for k, lag in enumerate(LAGS):
-            alike = np.zeros(len(words))
-            near = owner[lag:] == owner[:-lag]
-            alike[lag:] = np.einsum("ij,ij->i", own[lag:], own[:-lag]) / (norm[lag:] * norm[:-lag]) * near
-            out[some, 2 * DIM + 1 + k] = np.add.reduceat(alike, first) / np.maximum(n[some] - lag, 1)
+        for part, rows in enumerate((own, index_vectors()[words].astype(np.float64))):
+            norm = np.sqrt((rows * rows).sum(axis=1)) + 1e-9
+            for k, lag in enumerate(LAGS):
+                alike = np.zeros(len(words))
+                near = owner[lag:] == owner[:-lag]
+                alike[lag:] = np.einsum("ij,ij->i", rows[lag:], rows[:-lag]) / (norm[lag:] * norm[:-lag]) * near
+                out[some, 2 * DIM + 1 + part * len(LAGS) + k] = np.add.reduceat(alike, first) / np.maximum(n[some] - lag, 1)
     return out
 
 
@@ -128,14 +136,17 @@ def _loss(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.mean(np.logaddexp(0, logits) - y * logits))
 
 
-def fit_network(x: np.ndarray, y: np.ndarray) -> Network:
+def fit_network(x: np.ndarray, y: np.ndarray, block: int = 0) -> Network:
     """Adam on the log loss of four fifths of the rows; the temperature on the rest.
 
-    With no rows, or one class, the network gives that class's smoothed share.
+    The first ``block`` features together count as much as one of the others,
+    so that many dimensions of a small fit do not drown the rest.  With no
+    rows, or one class, the network gives that class's smoothed share.
     """
     width = x.shape[1]
     share = (y.sum() + 1) / (len(y) + 2)
     shift, scale = (x.mean(axis=0), 1 / (x.std(axis=0) + 1e-6)) if len(x) else (np.zeros(width), np.ones(width))
+    scale = scale * np.where(np.arange(width) < block, 1 / max(block, 1) ** 0.5, 1.0)
     draw = np.random.default_rng(SEED)
     p = [draw.normal(0, 1 / np.sqrt(width), (width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.array(np.log(share / (1 - share)))]
     rest = np.arange(len(y)) % 5 == 0
@@ -143,7 +154,7 @@ def fit_network(x: np.ndarray, y: np.ndarray) -> Network:
         p[2] = draw.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN)
         z, t = (x[~rest] - shift) * scale, y[~rest].astype(np.float64)
         m, v, step = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p], 0
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS * 64 // len(z)))):
             order = draw.permutation(len(z))
             for at in range(0, len(z), 64):
                 a, b = z[order[at : at + 64]], t[order[at : at + 64]]
@@ -159,7 +170,7 @@ def fit_network(x: np.ndarray, y: np.ndarray) -> Network:
     net = Network(shift, scale, p[0], p[1], p[2], float(p[3]), 1.0)
     if rest.any() and len(set(y[rest])) == 2:
         logits = net.logits(x[rest])
-        best = min(np.geomspace(0.5, 8, 49), key=lambda t: _loss(logits / t, y[rest]))
+        best = min(np.geomspace(0.1, 8, 77), key=lambda t: _loss(logits / t, y[rest]))
         net = Network(shift, scale, p[0], p[1], p[2], float(p[3]), float(best))
     return net
 
@@ -189,7 +200,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
     x = np.array(rows["x"].to_pylist(), np.float64).reshape(-1, FEATURES)
     y = rows["label"].to_numpy()
     order = np.lexsort([*x.T[:4], y])  # the rows' order in the cluster does not matter
-    return QualityModel(vectors, fit_network(x[order], y[order]))
+    return QualityModel(vectors, fit_network(x[order], y[order], 2 * DIM))
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
