@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,24 +105,28 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), slash + path
 
 
-def _judge(frames: Iterator[pd.DataFrame], rules, globs, default) -> Iterator[pd.DataFrame]:
+def _symbols(host: str, path: str) -> np.ndarray:
+    bytes_of = lambda text: np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    return np.concatenate([bytes_of("." + host), [SEPARATOR], bytes_of(path)]).astype(np.int64)
+
+
+def _judge(batches: Iterator[pa.RecordBatch], rules, globs, default) -> Iterator[pa.RecordBatch]:
     ranked = sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r))
     automaton = Automaton.build([f"*.{h}|{p}*" for _, h, p in ranked] + list(globs))
-    for frame in frames:
-        for start in range(0, len(frame), 4096):
-            part = frame.iloc[start : start + 4096].reset_index(drop=True)
-            split = [split_url(u) for u in part["url"]]
-            symbols = [
-                np.concatenate([np.frombuffer(("." + h).encode("utf-8", "surrogatepass"), np.uint8), [SEPARATOR], np.frombuffer(p.encode("utf-8", "surrogatepass"), np.uint8)]).astype(np.int64)
-                for h, p in split
-            ]
-            hits = automaton.match(symbols)
+    for batch in batches:
+        for start in range(0, batch.num_rows, 4096):
+            part = batch.slice(start, 4096)
+            split = [split_url(u) for u in part.column(1).to_pylist()]
+            hits = automaton.match([_symbols(h, p) for h, p in split])
             ruled, blocked = hits[:, : len(ranked)], hits[:, len(ranked) :].any(axis=1)
-            best = np.where(ruled.any(axis=1), ruled.argmax(axis=1), -1)
-            part["host"], part["path"] = [h for h, _ in split], [p for _, p in split]
-            part["rule"] = [None if b < 0 else ranked[b][1] + ranked[b][2] for b in best]
-            part["verdict"] = [ranked[b][0] if b >= 0 else "block" if x else default for b, x in zip(best, blocked, strict=True)]
-            yield part[["page_id", "host", "path", "rule", "verdict"]]
+            best = np.where(ruled.any(axis=1), ruled.argmax(axis=1), -1) if ranked else np.full(len(split), -1)
+            columns = [
+                [h for h, _ in split],
+                [p for _, p in split],
+                [None if b < 0 else ranked[b][1] + ranked[b][2] for b in best],
+                [ranked[b][0] if b >= 0 else "block" if x else default for b, x in zip(best, blocked, strict=True)],
+            ]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.string()) for c in columns)], names=["page_id", "host", "path", "rule", "verdict"])
 
 
 def judge_urls(
@@ -146,7 +150,7 @@ def judge_urls(
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     kind = base.schema["page_id"].dataType.simpleString()
     rules, globs = tuple(rules), tuple(block_globs)
-    return base.mapInPandas(
+    return base.mapInArrow(
         lambda it: _judge(it, rules, globs, default),
         f"page_id {kind}, host string, path string, rule string, verdict string",
     )
