@@ -114,13 +114,15 @@ def _features(model: ToxicityModel, texts: list[str | None]) -> tuple[np.ndarray
 def _word_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each word hash with its label and a hash of its two neighbours, once per slice."""
     for batch in batches:
-        texts, labels = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.uint64)
+        texts, labels = batch.column(0).to_pylist(), (np.array(batch.column(1).to_pylist()) > 0).astype(np.uint64)
         for start, end in slices(texts):
             hashes, owner = tokenize(texts[start:end], (LETTER,), lower=True)
             if not len(hashes):
                 continue
-            edge = np.zeros(1, np.uint64)
-            around = np.concatenate([edge, hashes[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + mix(np.concatenate([hashes[1:], edge]))
+            before, after = np.zeros_like(hashes), np.zeros_like(hashes)
+            inside = owner[1:] == owner[:-1]  # neighbours are words of the same text
+            before[1:][inside], after[:-1][inside] = hashes[:-1][inside], hashes[1:][inside]
+            around = before * np.uint64(0x9E3779B97F4A7C15) + mix(after)
             context = (mix(around) << np.uint64(1)) | labels[start:end][owner]
             rows = np.unique(np.stack([hashes, context], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays(
@@ -229,7 +231,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
 
     first = spark.sparkContext.broadcast(model)
     rows = sample.mapInArrow(lambda it: _fit_features(it, first), "label int, words long, best double, weight double").toArrow()
-    y, words, best = rows["label"].to_numpy().astype(float), rows["words"].to_numpy().astype(float), rows["best"].to_numpy()
+    y, words, best = (rows["label"].to_numpy() > 0).astype(float), rows["words"].to_numpy().astype(float), rows["best"].to_numpy()
     plain = (y == 0) & (words > 0)
     # chance segments are Poisson with mean size * words * exp(-rate * score): fit ``size`` at the level half the ordinary texts stay under
     level = float(np.quantile(best[plain], 0.5)) if plain.any() else 0.0
@@ -239,7 +241,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
     model = ToxicityModel(keys, scores, rate, size, 1.0, 0.0)
     second = spark.sparkContext.broadcast(model)
     rows = sample.mapInArrow(lambda it: _fit_features(it, second), "label int, words long, best double, weight double").toArrow()
-    y, weight = rows["label"].to_numpy().astype(float), rows["weight"].to_numpy()
+    y, weight = (rows["label"].to_numpy() > 0).astype(float), rows["weight"].to_numpy()
     order = np.lexsort([weight, y])
     slope, offset = _logistic(np.log1p(weight[order]), y[order]) if len(y) else (0.0, 0.0)
     return ToxicityModel(keys, scores, rate, size, slope, offset)
