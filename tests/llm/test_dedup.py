@@ -373,6 +373,12 @@ def test_vector_edges(spark):
     assert embedding_components(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_vectors_of_any_magnitude(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1.01e200], 0), (3, [1e-200, 1e-200], 0), (4, [5e-324, 5e-324], 0), (5, [1e200, -1e200], 0), (6, [1e308, 1.7e308], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(1)
     a = rng.normal(size=(60, 32))

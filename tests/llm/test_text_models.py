@@ -58,6 +58,12 @@ def test_url_verdicts(spark):
     assert split_url("a://b?c/d") == ("b", "")
 
 
+def test_large_ids_beside_null_ones(spark):
+    rows = [((1 << 53) + 1, "http://a.com/"), (None, None), (-(1 << 62) - 1, "http://x.net/es/")]
+    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string").coalesce(1)).collect()
+    assert [r.page_id for r in got] == [r[0] for r in rows]
+
+
 TEXTS = ["Hello  world", " lead", "a\nb", "", " ", "  ", "trail ", "trail  ", "\r\n\t x", "ﬁ Å é", "a\x00b", "😀 𝒳 日本語テキスト", "a" * 3000, " " * 70 + "x" + " " * 33]
 
 
@@ -193,6 +199,22 @@ def test_toxicity(spark):
     assert isinstance(nothing, ToxicityModel) and score_toxicity(frame, nothing).count() == 504
 
 
+def test_toxic_words_do_not_depend_on_copies_or_partitions(spark):
+    from textmill.llm.toxicity import _word_contexts
+
+    def contexts(texts):
+        frame = spark.createDataFrame([(t, 1) for t in texts], "text string, label int").coalesce(1)
+        return frame.mapInArrow(_word_contexts, "h long, context long").distinct().count()
+
+    assert contexts(["vile words here"]) == contexts(["vile words here", "x", "vile words here", "yy z", "vile words here"]) - 3 == 3
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["good", "fine", "calm", "vile", "nasty"], k=30)) for _ in range(120)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 2 * int(t.count("vile") > 7)) for i, t in enumerate(texts)], "doc_id long, y int")
+    one, many = (fit_toxicity(frame.repartition(n, "doc_id"), labels, label="y") for n in (1, 32))
+    assert np.array_equal(one.keys, many.keys) and np.allclose(one.scores, many.scores) and np.isclose(one.slope, many.slope) and one.rate == many.rate and one.size == many.size
+
+
 def test_quality(spark):
     rng = random.Random(9)
     plain = lambda r: " ".join(r.choices([f"w{i}" for i in range(500)], k=r.randrange(20, 120))) + "."
