@@ -9,9 +9,9 @@ import pytest
 from textmill.llm.decontaminate import contaminations, drop_contaminated
 from textmill.llm.embedding_dedup import embedding_components, linked_pairs, quantise
 from textmill.llm.graph import connected_components
-from textmill.llm.line_dedup import BANDS, BINS, SHINGLE, dedup_lines, line_report, line_signatures
-from textmill.llm.minhash_dedup import minhash_components, minhash_keep
-from textmill.llm.neardup import agreeing, band_keys, components, packed, strays_and_members, verified_pairs
+from textmill.llm.line_dedup import BANDS, BINS, SHINGLE, _linked_components, dedup_lines, line_report, line_signatures
+from textmill.llm.minhash_dedup import _linked, minhash_components, minhash_keep
+from textmill.llm.neardup import agreeing, band_keys, components, packed, rows_with_partners, verified_pairs
 
 DOC = "doc_id long, text string, component_id string, node string, k int, __gone int"
 
@@ -106,6 +106,23 @@ def test_long_text_shingles():
     assert counts.tolist() == [1, len(shingles(long.decode())), 0]
 
 
+def test_tile_intersections_match_sets():
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    rows = [np.unique(rng.integers(0, 60, rng.integers(1, 60))) for _ in range(40)]
+    frame = pd.DataFrame({"items": rows, "c": range(40)})
+    i, j = _linked(frame[:15], frame[10:].reset_index(drop=True), 40)
+    got = set(zip(i.tolist(), j.tolist(), strict=True))
+    want = {
+        (a, b)
+        for a in range(15)
+        for b in range(30)
+        if a != b + 10 and 100 * len(np.intersect1d(rows[a], rows[b + 10])) >= 40 * len(np.union1d(rows[a], rows[b + 10]))
+    }
+    assert got == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (None, 3), (101, 100), (300, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -251,17 +268,33 @@ def test_packed_minima_are_counted(spark):
             assert [x == y for x, y in zip(r.k, q.k, strict=True)] == [all(low[r.node][i] == low[q.node][i] for i in band) for band in ((0, 6, 7), (14, 19))]
 
 
-def test_strays_meet_all_members_of_other_components(spark):
+def test_rows_with_partners_in_other_components(spark):
     rng = random.Random(9)
     base = [rng.randrange(128) for _ in range(14)]
-    rows = [(i, [v if rng.random() < 0.8 else rng.randrange(128) for v in base]) for i in range(40)]
+    rows = [(i, [v if rng.random() < 0.72 else rng.randrange(128) for v in base]) for i in range(40)]
     component = {i: 0 if i < 25 else i for i in range(40)}
     frame = spark.createDataFrame([(b, i, component[i]) for b in (1, 2) for i in range(40) if (i + b) % 3], "bucket long, node long, c long")
-    got = [tuple(r) for r in strays_and_members(frame, signed(spark, rows, 14), 10).collect()]
-    inside = [{i for i in range(40) if (i + b) % 3} for b in (1, 2)]
+    got = {tuple(r) for r in rows_with_partners(frame, signed(spark, rows, 14), 10).collect()}
     alike = lambda a, b: sum(x == y for x, y in zip(rows[a][1], rows[b][1], strict=True)) >= 10
-    want = {(a, b) for b in range(40) for a in range(b) if component[a] != component[b] and alike(a, b) and any({a, b} <= s for s in inside)}
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    want = set()
+    for b in (1, 2):
+        inside = [i for i in range(40) if (i + b) % 3]
+        want |= {(b, i, component[i], i >= 25) for i in inside if any(component[i] != component[j] and alike(i, j) for j in inside)}
+    assert got == want and 20 < len(want) < frame.count()
+
+
+def test_line_sets_link_components(spark):
+    rng = random.Random(9)
+    sets = [set(rng.sample(range(1 << 31), 60)) for _ in range(30)]
+    for i in range(40):
+        base = sorted(sets[i % 30])
+        sets.append({*base[rng.randrange(1, 9) :], *rng.sample(range(1 << 31), rng.randrange(9))})
+    sets += [set(range(n)) for n in (0, 1, 900, 1000)]
+    frame = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "node long, items array<long>")
+    rows = frame.selectExpr("1L AS bucket", "node", "node AS c", "node > 3 AS stray")
+    got = {tuple(r) for r in _linked_components(rows, frame, 80).collect()}
+    alike = lambda a, b: a | b and 100 * len(a & b) >= 80 * len(a | b)
+    assert got == {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if alike(sets[i], sets[j])} and len(got) > 20
 
 
 @pytest.mark.parametrize("hot", [3, 10_000])
@@ -278,7 +311,8 @@ def test_components_with_hot_and_other_buckets(spark, hot, monkeypatch):
     minima = [(n, [min(order[x] for x in s) for order in orders]) for n, s in enumerate(sets)]
     frame = spark.createDataFrame([(n, sorted(s)) for n, s in enumerate(sets)], "node long, items array<long>")
     keys = band_keys([(i, i + 1) for i in range(0, 24, 2)])
-    found = components(signed(spark, minima, 24), keys, 12, lambda pairs: verified_pairs(pairs, frame, 80))
+    residual = lambda rows: _linked_components(rows, frame, 80)
+    found = components(signed(spark, minima, 24), keys, 12, lambda pairs: verified_pairs(pairs, frame, 80), residual)
     links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = union_find(len(sets), links)
     assert {r.node: r.component for r in found.collect()} == {n: c for n, c in enumerate(want) if c != n}

@@ -102,18 +102,33 @@ def _places(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, leas
     return found.select("doc_id", "row_key", "pos", "k", F.when(F.col("text"), F.col("line")).alias("line"))
 
 
+def _shingle_set(line: str) -> str:
+    """SQL: the distinct shingle hashes of a line; the encoded line is bound to a lambda's variable, which is passed on without a copy for each shingle."""
+    each = f"xxhash64(substring(u, 4 * i - 3, {4 * SHINGLE}))"
+    return f"transform(array(encode({line}, 'UTF-32')), u -> array_distinct(transform(sequence(1, greatest(1, length({line}) - {SHINGLE - 1})), i -> {each})))[0]"
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the ``pairs`` ``(a, b)`` whose lines' whole sets of shingles are similar enough; ``texts`` is ``(k, line)``."""
     one = texts.select(F.col("k").alias("a"), F.col("line").alias("la"))
     two = texts.select(F.col("k").alias("b"), F.col("line").alias("lb"))
+    met = pairs.join(two, "b").join(one, "a").select("a", "b", F.expr(_shingle_set("la")).alias("sa"), F.expr(_shingle_set("lb")).alias("sb"))
+    return met.where(f"{100 + percent} * size(array_intersect(sa, sb)) >= {percent} * (size(sa) + size(sb))").select("a", "b")
 
-    def shingles(line: str) -> str:
-        # the line is bound to a lambda's variable, which is passed on without a copy for each shingle
-        each = f"xxhash64(substring(u, 4 * i - 3, {4 * SHINGLE}))"
-        return f"transform(array(encode({line}, 'UTF-32')), u -> array_distinct(transform(sequence(1, greatest(1, length({line}) - {SHINGLE - 1})), i -> {each})))[0]"
 
-    met = pairs.join(two, "b").join(one, "a").select("a", "b", F.expr(shingles("la")).alias("sa"), F.expr(shingles("lb")).alias("sb"))
-    return met.where(f"{100 + percent} * size(array_intersect(sa, sb)) >= {percent} * (size(sa) + size(sb))").select("a", "b")
+def _linked_components(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges ``(a, b)`` between the components of linked rows ``(bucket, node, c, stray)`` of a bucket; ``sets`` is ``(node, items)``.
+
+    Sets are intersected in the join itself, which makes a row for a link, not for a pair.
+    """
+    held = rows.join(sets, "node").withColumn("n", F.size("items"))
+    x, y = held.where("stray").alias("x"), held.alias("y")
+    met = (
+        "x.bucket = y.bucket AND x.c <> y.c AND (NOT y.stray OR x.node < y.node) AND "
+        f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND "
+        f"{100 + percent} * size(array_intersect(x.items, y.items)) >= {percent} * (x.n + y.n)"
+    )
+    return x.join(y, F.expr(met)).select(F.expr("least(x.c, y.c) AS a"), F.expr("greatest(x.c, y.c) AS b")).distinct()
 
 
 def removed_lines(
@@ -144,22 +159,28 @@ def removed_lines(
     placed: list[DataFrame] = []
     texts: list[DataFrame] = []
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-        if texts:
-            ends = ends.join(texts[0].select("k"), "k", "left_anti")
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """``(k, line)`` of all nodes asked for so far; each is looked up once."""
+        ends = nodes.join(texts[-1].select("k"), "k", "left_anti") if texts else nodes
         wanted = ends.withColumn("text", F.lit(True))
         if not placed:  # one scan serves the repeated lines too
             wanted = wanted.unionByName(repeated.withColumn("text", F.lit(False))).groupBy("k").agg(F.max("text").alias("text"))
         wanted = materialize(wanted, "wanted")
         placed.append(materialize(_places(docs, id_col, text_col, wanted, judged), "places"))
-        found = placed[-1].where("line is not null").groupBy("k").agg(F.min("line").alias("line"))
-        known = found if not texts else texts[0].unionByName(found)
-        texts.append(known)
         discard(wanted)
-        return _similar(pairs, known, percent)
+        found = placed[-1].where("line is not null").groupBy("k").agg(F.min("line").alias("line"))
+        texts.append(texts[-1].unionByName(found) if texts else found)
+        return texts[-1]
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return _similar(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()), percent)
+
+    def residual(rows: DataFrame) -> DataFrame:
+        nodes = rows.select(F.col("node").alias("k")).distinct()
+        sets = texts_of(nodes).join(nodes, "k", "left_semi").select(F.col("k").alias("node"), F.expr(_shingle_set("line")).alias("items"))
+        return _linked_components(rows, sets, percent)
 
-    near = components(signatures.where("fuzzy").drop("fuzzy"), band_keys(BANDS), LEAST_AGREEING + -BINS % LANES, verify)
+    near = components(signatures.where("fuzzy").drop("fuzzy"), band_keys(BANDS), LEAST_AGREEING + -BINS % LANES, verify, residual)
     ends = near.select(F.col("node").alias("k"), F.col("component").alias("c")).unionByName(
         near.select(F.col("component").alias("k"), F.col("component").alias("c"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from textmill.llm.shingles import chunks, mix, shingle_sets
 
 BANDS, ROWS = 25, 5  # at similarity 0.85 a pair misses every band with probability 5e-7
 PERCENT = 85
+TILE_SHINGLES = 200_000  # shingles in a tile, on average; a task holds two tiles
+WIDTH = 8192  # shingles compared at a time
 MAX_BROADCAST_NODES = 1_000_000  # most ids (8 bytes each) that are broadcast to pick texts; beyond, a shuffled join
 
 
@@ -72,6 +75,75 @@ def least_agreeing(functions: int, percent: int) -> int:
     return int(functions * share - 3.1 * (functions * share * (1 - share)) ** 0.5)
 
 
+def _linked(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of rows of ``left`` and ``right`` whose sets are similar enough and whose components differ.
+
+    Sizes of intersections are products of membership matrices over the
+    shingles that both sides have, a slice of shingles at a time.
+    """
+    sizes = [np.array([len(x) for x in t["items"]], np.int64) for t in (left, right)]
+    flat = [np.concatenate(t["items"].tolist()) for t in (left, right)]
+    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    vocabulary = np.intersect1d(flat[0], flat[1])
+    at = [np.searchsorted(vocabulary, f) for f in flat]
+    seen = [(p < len(vocabulary)) & (vocabulary[np.minimum(p, len(vocabulary) - 1)] == f) if len(vocabulary) else np.zeros(len(f), bool) for p, f in zip(at, flat, strict=True)]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(vocabulary), WIDTH):
+        sides = []
+        for p, ok, r, n in zip(at, seen, rows, (len(left), len(right)), strict=True):
+            take = ok & (p >= start) & (p < start + WIDTH)
+            side = np.zeros((n, min(WIDTH, len(vocabulary) - start)), np.float32)
+            side[r[take], p[take] - start] = 1
+            sides.append(side)
+        shared += sides[0] @ sides[1].T
+    union = sizes[0][:, None] + sizes[1] - shared
+    differ = left["c"].to_numpy()[:, None] != right["c"].to_numpy()
+    return np.nonzero((shared * 100 >= union * percent) & differ)
+
+
+def _compare_tiles(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between a tile of stray members and a tile of members, as one edge per member to its smallest partner and back."""
+    left, right = (frame[frame["stray"] == side].sort_values("node", kind="stable").reset_index(drop=True) for side in (True, False))
+    none = pd.DataFrame({"a": [], "b": []}).astype("int64")
+    if not len(left) or not len(right):
+        return none
+    i, j = _linked(left, right, percent)
+    if not len(i):
+        return none
+    # union within the tiles: a spanning set of edges instead of all pairs
+    nodes, ends = np.unique(np.concatenate([left["node"].to_numpy()[i], right["node"].to_numpy()[j]]), return_inverse=True)
+    x, y, label = ends[: len(i)], ends[len(i) :], np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, x, before[y])
+        np.minimum.at(label, y, before[x])
+        label = label[label]
+        if (label == before).all():
+            break
+    return pd.DataFrame({"a": nodes[label], "b": nodes})
+
+
+def residual_tiles(open_rows: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Links of a bucket's stray members with all its members; ``open_rows`` is ``(bucket, node, c, stray)``.
+
+    Strays and members are dealt by a hash into tiles of about
+    ``TILE_SHINGLES`` shingles; every pair of tiles is one task of bounded
+    size that returns at most one edge per row.  Members of the largest
+    component are never compared with each other.
+    """
+    sets = materialize(sets_of(open_rows.select("node").distinct()).withColumn("n", F.size("items")), "sets")
+    rows = open_rows.join(sets.select("node", "n").distinct(), "node")
+    sums = rows.groupBy("bucket").agg(F.sum("n").alias("all"), F.sum(F.expr("if(stray, n, 0)")).alias("strays"))
+    tiles = sums.select(
+        "bucket", F.ceil(F.col("all") / TILE_SHINGLES).cast("int").alias("na"), F.ceil(F.col("strays") / TILE_SHINGLES).cast("int").alias("ns")
+    )
+    rows = rows.join(tiles, "bucket")
+    members = rows.select("bucket", "node", "c", F.lit(False).alias("stray"), F.expr("cast(pmod(xxhash64(node), na) as int)").alias("ta"), F.expr("explode(sequence(0, ns - 1))").alias("ts"))
+    strays = rows.where("stray").select("bucket", "node", "c", "stray", F.expr("cast(pmod(xxhash64(node), ns) as int)").alias("ts"), F.expr("explode(sequence(0, na - 1))").alias("ta"))
+    dealt = members.unionByName(strays.select(*members.columns)).join(sets.select("node", "items"), "node")
+    return dealt.groupBy("bucket", "ta", "ts").applyInPandas(lambda frame: _compare_tiles(frame, percent), "a long, b long").where("a < b").distinct()
+
+
 def minhash_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -109,15 +181,16 @@ def minhash_components(
     versions = rows_.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     repeated = versions.join(rows_, "doc_id").where("node > a").select("a", F.col("node").alias("b"))
 
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = base.join(broadcast_if_small(nodes.select(F.col("node").alias("doc_id")), MAX_BROADCAST_NODES), "doc_id", "left_semi")
+        return wanted.mapInArrow(lambda it: _sets(it, size), "node long, items array<long>").where("size(items) > 0")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        wanted = base.join(broadcast_if_small(ends, MAX_BROADCAST_NODES), "doc_id", "left_semi")
-        sets = wanted.mapInArrow(lambda it: _sets(it, size), "node long, items array<long>").where("size(items) > 0")
-        return verified_pairs(pairs, sets, percent)
+        return verified_pairs(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), percent)
 
     keys = band_keys([range(b * rows, b * rows + rows) for b in range(bands)])
     least = least_agreeing(functions, percent) + -functions % LANES
-    labels = components(classes.select("node", "weight", *words), keys, least, verify, extra_edges=repeated)
+    labels = components(classes.select("node", "weight", *words), keys, least, verify, lambda rows: residual_tiles(rows, sets_of, percent), extra_edges=repeated)
     named = classes.select("fp_hi", "fp_lo", "node").join(labels, "node", "left").select(
         "fp_hi", "fp_lo", F.coalesce("component", "node").alias("class_id")
     )

@@ -102,23 +102,23 @@ def bucket_heads(signatures: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out
 
 
-def strays_and_members(open_rows: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of a bucket's ``(bucket, node, c)`` members in different components that agree in ``least`` minima or more.
+def rows_with_partners(open_rows: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
+    """Rows ``(bucket, node, c, stray)`` of a bucket's ``(bucket, node, c)`` members that agree in ``least`` minima or more
+    with a member of another component.
 
-    One of the pair is a stray, a member outside the bucket's most frequent
+    One of the two is a stray, a member outside the bucket's most frequent
     component, so members of a hot bucket's main component never meet each
-    other.  Signatures are compared in the join itself; a hot bucket's two
-    sides can be split.
+    other.  Signatures are compared in semi-joins, which make no pairs; a hot
+    bucket's two sides can be split.
     """
     words = words_of(signatures)
     counts = open_rows.groupBy("bucket", "c").agg(F.count("*").alias("n"))
     main = counts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-    signed = open_rows.join(signatures.select("node", *words), "node").join(main, "bucket")
-    y = signed.alias("y")
-    x = signed.where("c <> main").alias("x")
-    met = "x.bucket = y.bucket AND x.c <> y.c AND (y.c = y.main OR x.node < y.node)"
-    pairs = x.join(y, F.expr(f"{met} AND {agreeing('x', 'y', words)} >= {least}"))
-    return pairs.select(F.expr("least(x.node, y.node) AS a"), F.expr("greatest(x.node, y.node) AS b")).distinct()
+    signed = open_rows.join(signatures.select("node", *words), "node").join(main, "bucket").withColumn("stray", F.expr("c <> main"))
+    met = F.expr(f"x.bucket = y.bucket AND x.c <> y.c AND {agreeing('x', 'y', words)} >= {least}")
+    strays = signed.where("stray").alias("x").join(signed.alias("y"), met, "left_semi")
+    members = signed.where("not stray").alias("x").join(signed.where("stray").alias("y"), met, "left_semi")
+    return strays.unionByName(members).select("bucket", "node", "c", "stray")
 
 
 def components(
@@ -126,22 +126,26 @@ def components(
     keys: Sequence[str],
     least: int,
     verify: Callable[[DataFrame], DataFrame],
+    residual: Callable[[DataFrame], DataFrame],
     extra_edges: DataFrame | None = None,
 ) -> DataFrame:
     """Components ``(node, component)`` of the verified links among ``signatures`` ``(node, weight, s0, s1, ...)``.
 
-    1. Each member of a bucket is compared with the bucket's heaviest node:
-       as many pairs as members.
+    1. Each member of a bucket is compared with the bucket's heaviest node,
+       as many pairs as members: ``verify(pairs)`` returns those that are links.
     2. Members that share a bucket but are still in different components are
-       compared with each other; pairs within a component never are.
+       compared with each other: ``residual(rows)`` returns edges that join
+       the components of all linked rows of a bucket.  Pairs within a
+       component are never looked at.
 
-    Pairs whose signatures agree in fewer than ``least`` minima are dropped,
-    the others go once to ``verify(pairs)``, which returns those that are links.
+    Pairs whose signatures agree in fewer than ``least`` minima are not
+    compared; the comparisons are exact.
     """
     shared = materialize(bucket_heads(signatures, keys), "buckets")
     stars = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     stars = materialize(likely_pairs(stars, signatures, least), "pairs")
     links = materialize(verify(stars), "links")
+    discard(stars)
     known = links if extra_edges is None else links.unionByName(extra_edges.select("a", "b"))
     labels = connected_components(known)
 
@@ -149,12 +153,10 @@ def components(
     mixed = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
     open_rows = materialize(labelled.join(mixed, "bucket", "left_semi"), "open")
     discard(shared)
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(strays_and_members(open_rows, signatures, least).join(tried, ["a", "b"], "left_anti"), "pairs")
+    met = materialize(rows_with_partners(open_rows, signatures, least), "met")
     discard(open_rows)
-    discard(stars)
-    if small_enough(more, 0):
+    if small_enough(met, 0):
         return labels
-    found = materialize(verify(more), "links")
-    discard(more)
-    return connected_components(known.unionByName(found))
+    found = materialize(residual(met), "links")
+    discard(met)
+    return connected_components(known.unionByName(found.select("a", "b")))
