@@ -28,6 +28,28 @@ def test_steps_end_in_the_result(a, b):
         U.quotient_steps(a * b + 1, b)
 
 
+def test_steps_of_all_small_numbers_hold():
+    for a in [*range(2, 120), 1000, 1005, 2400, 99999]:
+        for b in range(2, 100):
+            lines = U.product_steps(a, b)
+            assert U.equations_hold("。".join(lines)) and lines[-1].endswith(f"= {a * b}"), (a, b)
+            assert max(U.left_load(x.partition("=")[0]) for x in lines) <= 6
+    for d in range(2, 21):
+        for q in [*range(1, 130), 500, 1002]:
+            lines = U.quotient_steps(q * d, d)
+            assert U.equations_hold("。".join(lines)) and (q < 10 or lines[-1].endswith(f"= {q}")), (q, d)
+            assert lines[0].split(" ")[0] == str(q * d)[: len(lines[0].split(" ")[0])]
+
+
+def test_exact_lines_of_long_arithmetic():
+    assert U.product_steps(46, 47) == ["40 × 4 = 160", "6 × 4 = 24", "160 + 24 = 184", "184 × 10 = 1840", "40 × 7 = 280", "6 × 7 = 42", "280 + 42 = 322", "1840 + 322 = 2162"]
+    assert U.product_steps(7, 8) == ["7 × 8 = 56"] and U.product_steps(12, 10) == ["12 × 10 = 120"]
+    assert U.quotient_steps(984, 8) == ["9 ÷ 8 = 1余り1", "18 ÷ 8 = 2余り2", "24 ÷ 8 = 3余り0", "100 + 20 + 3 = 123"]
+    assert U.quotient_steps(120, 4) == ["12 ÷ 4 = 3余り0", "0 ÷ 4 = 0余り0", "3 × 10 = 30"] and U.quotient_steps(6, 3) == ["6 ÷ 3 = 2余り0"]
+    assert not U.equations_hold("8 × 7 = 54") and U.equations_hold("12 + 3 × 2 = 30") and U.equations_hold("nothing")
+    assert U.left_load("105 + 20") == 1 and U.left_load("123 × 45") == 6 and U.left_load("5 ÷ 0 × 3") == 2 and U.left_load("") == 0
+
+
 def test_corrections():
     assert U.corrected("46 × 47 = 2163。答えは2163円") == "46 × 47 = 2162。答えは2162円"
     assert U.corrected("4124 × 29 ÷ 100 = 0.29") == "4124 × 29 ÷ 100 = 1195"
@@ -37,6 +59,10 @@ def test_corrections():
 def test_pieces_and_windows():
     text = "あ" * 30 + "。" + "い" * 50 + "<nl>" + "う" * 200
     assert "".join(U.pieces(text, 60)) == text and max(map(len, U.pieces(text, 60))) <= 60
+    assert U.pieces("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5] and U.pieces("ab。" + "x" * 30, 12)[0] == "ab。" and U.pieces("a。" + "x" * 30, 12)[0] == "a。" + "x" * 10
+    assert U.pieces("") == [] and U.pieces("x" * 8 + " " * 4, 8) == ["x" * 8]
+    assert U.window("短い。", 0, 1, 30) == ("短い。", 0) and U.window("一。" * 40, 0, 3, 30) is None and U.window("長" * 40 + "。", 3, 2, 30) is None
+    assert U.window("a。" * 10, 8, 1, 8) == ("a。a。a。a。", 2) and U.window("a。" * 10, 19, 1, 8) == ("a。a。a。a。", 7)
     found = U.window("一文目。二文目の答え。三文目。" * 20, 4, 3, 30)
     assert found is not None and found[0][found[1] : found[1] + 3] == "二文目" and len(found[0]) <= 30
 
