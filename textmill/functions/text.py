@@ -323,10 +323,9 @@ def byte_tokens(c: Column) -> Column:
 
 def char_f1(a: Column, b: Column) -> Column:
     """F1 of two bags of characters; if one is empty, 1 when both are."""
-    ca, cb = F.split(a, ""), F.split(b, "")
-    both = F.array_distinct(F.array_intersect(ca, cb))
-    times = lambda arr, ch: F.size(F.filter(arr, lambda y: y == ch))
-    same = F.aggregate(both, F.lit(0), lambda acc, ch: acc + F.least(times(ca, ch), times(cb, ch)))
+    both = F.array_distinct(F.array_intersect(F.split(a, ""), F.split(b, "")))
+    times = lambda text, ch: F.length(text) - F.length(F.replace(text, ch, F.lit("")))
+    same = F.aggregate(both, F.lit(0), lambda acc, ch: acc + F.least(times(a, ch), times(b, ch)))
     p, r = same / F.length(a), same / F.length(b)
     return F.when((F.length(a) == 0) | (F.length(b) == 0), (a == b).cast("double")).when(same == 0, 0.0).otherwise(2 * p * r / (p + r))
 

@@ -37,15 +37,18 @@ def first_pairs(turns: DataFrame, conversation: str = "conv_id", turn: str = "tu
     return met.groupBy(conversation).agg(F.min_by(F.struct("q", "a"), turn).alias("p")).select(conversation, "p.q", "p.a")
 
 
-def exclusion_reason(q: Column, a: Column, max_q: int, max_a: int, duplicate: Column, leak: Column) -> Column:
-    """The first reason that applies: format, length_or_url, duplicate, leak; null for rows that stay."""
-    return (
-        F.when(F.coalesce(q, F.lit("")) == "", "format")
-        .when(F.coalesce(a, F.lit("")) == "", "format")
-        .when(~T.keep_pair(q, a, max_q, max_a), "length_or_url")
-        .when(duplicate, "duplicate")
-        .when(leak, "leak")
-    )
+def exclusion_reasons(pairs: DataFrame, order: str, max_q: int, max_a: int, leak: Column | None = None, q: str = "q", a: str = "a") -> DataFrame:
+    """``pairs`` with ``reason``: the first that applies of format, length_or_url, duplicate and leak; null for rows that stay.
+
+    A question counts as seen only once a row with it is kept, so rejected
+    rows make no duplicates.
+    """
+    leaky = F.lit(False) if leak is None else F.coalesce(leak, F.lit(False))
+    shape = F.when((F.coalesce(F.col(q), F.lit("")) == "") | (F.coalesce(F.col(a), F.lit("")) == ""), "format").when(~T.keep_pair(F.col(q), F.col(a), max_q, max_a), "length_or_url")
+    judged = pairs.withColumns({"__shape": shape, "__leak": leaky})
+    kept = judged.where("__shape is null and not __leak").groupBy(F.col(q).alias("__q")).agg(F.min(order).alias("__kept"))
+    reason = F.coalesce("__shape", F.when(F.col(order) > F.col("__kept"), "duplicate"), F.when(F.col("__leak"), "leak"))
+    return judged.join(kept, F.col(q) == F.col("__q"), "left").withColumn("reason", reason).drop("__shape", "__leak", "__q", "__kept")
 
 
 def reading_rows(squad: DataFrame) -> DataFrame:

@@ -96,12 +96,11 @@ def clean_code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT source, CASE WHEN ('0x' || substr(md5(text), 1, 8))::BIGINT % 1000 < 3 THEN 'val' ELSE 'train' END AS split,
-  CASE WHEN ('0x' || md5(text))::HUGEINT IS NULL THEN 'val' WHEN
-    (((('0x' || substr(md5(text), 1, 8))::BIGINT % 1000 * 296 + ('0x' || substr(md5(text), 9, 8))::BIGINT) % 1000 * 296
+  CASE WHEN (((('0x' || substr(md5(text), 1, 8))::BIGINT % 1000 * 296 + ('0x' || substr(md5(text), 9, 8))::BIGINT) % 1000 * 296
       + ('0x' || substr(md5(text), 17, 8))::BIGINT) % 1000 * 296 + ('0x' || substr(md5(text), 25, 8))::BIGINT) % 1000 < 10 THEN 'val' ELSE 'train' END AS whole_split,
   count(*) AS n, min(substr(sha256(text), 1, 16)) AS least_fingerprint
 FROM documents GROUP BY ALL
-""".replace("CASE WHEN ('0x' || md5(text))::HUGEINT IS NULL THEN 'val' WHEN", "CASE WHEN"))
+""")
 def hash_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.col("text")
@@ -147,15 +146,16 @@ def chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH {_PAIRS}, seen AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY conv_id) > 1 AS dup FROM pairs)
-SELECT CASE WHEN q = '' OR a = '' THEN 'format' WHEN length(q) > 120 OR length(a) > 300 OR regexp_matches(q, 'https?://') OR regexp_matches(a, 'https?://') THEN 'length_or_url'
-  WHEN dup THEN 'duplicate' ELSE 'kept' END AS reason, count(*) AS n FROM seen GROUP BY reason
+WITH {_PAIRS}, shaped AS (
+  SELECT *, CASE WHEN q = '' OR a = '' THEN 'format' WHEN length(q) > 120 OR length(a) > 300 OR regexp_matches(q, 'https?://') OR regexp_matches(a, 'https?://') THEN 'length_or_url' END AS shape,
+    contains(q, 'thing') AS leak FROM pairs
+), kept AS (SELECT q, min(conv_id) AS first FROM shaped WHERE shape IS NULL AND NOT leak GROUP BY q)
+SELECT coalesce(shape, CASE WHEN conv_id > first THEN 'duplicate' WHEN leak THEN 'leak' ELSE 'kept' END) AS reason, count(*) AS n FROM shaped LEFT JOIN kept USING (q) GROUP BY reason
 """)
 def exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = chat.first_pairs(table(spark, sf_dir, "conversations"))
-    first = pairs.groupBy("q").agg(F.min("conv_id").alias("first"))
-    reason = chat.exclusion_reason(F.col("q"), F.col("a"), 120, 300, F.col("conv_id") > F.col("first"), F.lit(False))
-    return pairs.join(first, "q").groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    """Why first pairs of conversations are left out; a word stands in for the held-out set."""
+    judged = chat.exclusion_reasons(chat.first_pairs(table(spark, sf_dir, "conversations")), "conv_id", 120, 300, F.col("q").contains("thing"))
+    return judged.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 _NORM = "translate(regexp_replace(lower({}), '\\d+', '0', 'g'), '" + T.IGNORED.replace("'", "''") + "', '')"
@@ -210,14 +210,12 @@ steps AS (
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pick = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 60)).when(F.col("doc_id") % 3 == 1, F.col("text")).otherwise(F.lit(""))
-    cot = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("まず、次に、"), pick)).otherwise(pick)
+    cot = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("まず、次に、"), "text")).otherwise(F.col("text"))
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", cot.alias("cot"))
     return scoring.rubric(rows, F.col("cot"), F.lit(""), F.col("lang"), arithmetic=False)
 
 
-_ROWS = """rows AS (SELECT doc_id, lang, CASE WHEN doc_id % 6 = 0 THEN 'まず、次に、' || substr(text, 1, 60) WHEN doc_id % 3 = 0 THEN substr(text, 1, 60)
-  WHEN doc_id % 3 = 1 THEN text ELSE '' END AS cot FROM documents)"""
+_ROWS = "rows AS (SELECT doc_id, lang, CASE WHEN doc_id % 6 = 0 THEN 'まず、次に、' || text ELSE text END AS cot FROM documents)"
 
 
 @query(f"WITH {_ROWS}, {_STEPS} SELECT doc_id, completeness::DOUBLE AS completeness, conciseness::DOUBLE AS conciseness, round(score, 9) AS score, CASE WHEN score >= 0.75 THEN 'adopt' ELSE 'revise' END AS status FROM scored")
@@ -295,24 +293,24 @@ def sanity_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.verdicts(_results(spark, sf_dir), "category", F.col("e2e_correct")).withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query(r"""WITH t AS (SELECT source, text, regexp_replace(text, '\s+', '', 'g') AS s, CASE WHEN doc_id % 2 = 0 THEN [lang, 'the'] ELSE [] END AS k FROM documents WHERE length(text) < 3000),
+@query(r"""WITH t AS (SELECT source, text, regexp_replace(text, '\s+', '', 'g') AS s, CASE WHEN doc_id % 2 = 0 THEN [lang, 'the'] ELSE [] END AS k FROM documents),
 c AS MATERIALIZED (SELECT *, string_split(s, '') AS cs FROM t),
 r AS (SELECT *, CASE WHEN length(s) < 11 THEN 0.0 ELSE 1 - len(list_distinct(list_transform(range(1, len(cs) - 2), lambda i: cs[i] || cs[i + 1] || cs[i + 2] || cs[i + 3]))) / (length(s) - 3) END AS rep,
   CASE WHEN len(k) > 0 THEN (contains(text, k[1]) OR contains(text, k[2]))::INT END AS hit FROM c)
 SELECT source, round(avg(rep), 3) AS repetition, count(*) FILTER (rep >= 0.5) AS n_repetitive, round(avg(hit), 3) AS hit_rate, round(avg(length(text)), 1) AS mean_length FROM r GROUP BY source""")
 def decoding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = F.when(F.col("doc_id") % 2 == 0, F.array("lang", F.lit("the"))).otherwise(F.array().cast("array<string>"))
-    return scoring.decoding_summary(table(spark, sf_dir, "documents").where(F.length("text") < 3000), "source", F.col("text"), keys)
+    return scoring.decoding_summary(table(spark, sf_dir, "documents"), "source", F.col("text"), keys)
 
 
-@query("""WITH t AS (SELECT doc_id AS id, md5(text) AS input, 'template' AS src FROM documents WHERE source = 'src1'), p AS (SELECT doc_id, md5(text), 'public' FROM documents WHERE source IN ('src2', 'src3') AND doc_id % 3 = 0),
-r AS (SELECT doc_id, md5(text) AS input, 'refusal' FROM documents WHERE source IN ('src3', 'src4')),
-kept AS (SELECT * FROM t ORDER BY md5('0:' || id), id LIMIT (SELECT count(*) FROM p)), everything AS (SELECT * FROM kept UNION ALL SELECT * FROM p UNION ALL SELECT * FROM r WHERE input NOT IN (SELECT p.md5 FROM (SELECT md5(text) AS md5 FROM documents WHERE source IN ('src2', 'src3') AND doc_id % 3 = 0) p))
-SELECT id, src, CASE WHEN row_number() OVER (ORDER BY md5('1:' || id || ':' || src), id) <= 10 THEN 'val' ELSE 'train' END AS split FROM everything""".replace("md5('1:' || id || ':' || src), id) <= 10", "md5('1:' || id || '/' || src), id || '/' || src) <= 10"))
+@query("""WITH t AS (SELECT doc_id AS id, md5(text) AS input, 'template' AS src FROM documents WHERE source = 'src1'), p AS (SELECT doc_id AS id, md5(text) AS input, 'public' AS src FROM documents WHERE source IN ('src2', 'src3')),
+r AS (SELECT doc_id AS id, md5(text) AS input, 'refusal' AS src FROM documents WHERE source IN ('src3', 'src4')),
+kept AS (SELECT * FROM t ORDER BY md5('0:' || id), id LIMIT (SELECT count(*) FROM p)), everything AS (SELECT * FROM kept UNION ALL SELECT * FROM p UNION ALL SELECT * FROM r WHERE input NOT IN (SELECT input FROM p))
+SELECT id, src, CASE WHEN row_number() OVER (ORDER BY md5('1:' || id || '/' || src), id || '/' || src) <= 10 THEN 'val' ELSE 'train' END AS split FROM everything""")
 def mixed_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("input"), "source")
     of = lambda df, name: df.select("id", "input", F.lit(name).alias("src"))
-    template, public = of(docs.where("source = 'src1'"), "template"), of(docs.where("source in ('src2', 'src3') and id % 3 = 0"), "public")
+    template, public = of(docs.where("source = 'src1'"), "template"), of(docs.where("source in ('src2', 'src3')"), "public")
     rows = mixing.mixed(template, public, of(docs.where("source in ('src3', 'src4')"), "refusal"), "id", "input")
     keyed = rows.withColumn("key", F.concat_ws("/", "id", "src"))
     return mixing.positional_split(keyed, "key", 10, seed="1").select("id", "src", "split")
@@ -384,13 +382,19 @@ def answer_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(rf"""WITH p AS (SELECT doc_id, {_LINES} AS ps FROM documents), l AS (SELECT doc_id, ps[1] AS lead, ps[2] || CASE WHEN length(ps[2]) + length(ps[3]) <= 4000 THEN ps[3] ELSE '' END AS body FROM (SELECT doc_id, ps[1:3] AS ps FROM p WHERE len(ps) >= 3) WHERE length(ps[2]) <= 4000),
-g AS (SELECT *, list_distinct(list_transform(range(1, length(regexp_replace(lead, '\s+', '', 'g'))), lambda i: substr(regexp_replace(lead, '\s+', '', 'g'), i, 2))) AS a,
-  list_distinct(list_transform(range(1, length(regexp_replace(body, '\s+', '', 'g'))), lambda i: substr(regexp_replace(body, '\s+', '', 'g'), i, 2))) AS b FROM l WHERE length(lead) BETWEEN 40 AND 160 AND lead LIKE '%.' AND length(body) >= 200)
+_TIGHT_CHARS = "string_split(regexp_replace({}, '\\s+', '', 'g'), '')"
+
+
+@query(rf"""WITH p AS (SELECT doc_id, {_LINES} AS ps FROM documents), l AS (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS i FROM p WHERE len(ps) >= 3),
+c AS (SELECT *, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l WHERE i > 1),
+b AS (SELECT doc_id, string_agg(x, '' ORDER BY i) AS body FROM c WHERE upto <= 4000 GROUP BY doc_id),
+j AS (SELECT doc_id, x AS lead, body FROM l JOIN b USING (doc_id) WHERE i = 1 AND length(x) BETWEEN 40 AND 160 AND x LIKE '%.' AND length(body) >= 200),
+s AS MATERIALIZED (SELECT *, {_TIGHT_CHARS.format('lead')} AS lc, {_TIGHT_CHARS.format('body')} AS bc FROM j),
+g AS (SELECT doc_id, body, lead, {_GRAMS.format('lc')} AS a, {_GRAMS.format('bc')} AS b FROM s)
 SELECT doc_id, md5(body) AS body, lead FROM g WHERE len(list_intersect(a, b)) / len(a) >= 0.3""")
 def summary_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three paragraphs of each document as summary tasks."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(T.stripped_lines(F.col("text")), 1, 3), "\n").alias("text"))
+    """Documents whose first paragraph sums up those after it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return chat.summary_items(docs, "doc_id", "text", body_chars=4000, stop=".").select("doc_id", F.md5("body").alias("body"), "lead")
 
 
