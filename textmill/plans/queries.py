@@ -492,7 +492,10 @@ def reading_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("id", "input", "answer").unionByName(other.select("id", "input", "answer"))
 
 
-@query()
+@query("""WITH a(pos, attribute) AS (VALUES (0, '面積'), (1, '人口')), f(form) AS (VALUES ('{E}の{A}は？'), ('{E}の{A}を教えてください')),
+t AS (SELECT n_name AS entity, attribute, replace(replace(form, '{E}', n_name), '{A}', attribute) AS question FROM nation, a, f WHERE pos = 0),
+r AS (SELECT *, row_number() OVER (ORDER BY md5('0:' || question), question) - 1 AS place, count(*) OVER () AS n FROM t)
+SELECT i.i, entity, attribute, question FROM range(100) i(i) JOIN r ON i.i % n = place""")
 def refusal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions on unknown attributes of known entities, repeated to 100 rows."""
     parts = table(spark, sf_dir, "nation").select(F.col("n_name").alias("entity"), F.posexplode(F.array(F.lit("面積"), F.lit("人口"))).alias("pos", "attribute"))

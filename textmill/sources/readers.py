@@ -23,6 +23,37 @@ def nested_json(spark: SparkSession, path: str, schema: str = SQUAD) -> DataFram
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def found_json(spark: SparkSession, folders: list[str], name: str, schema: str = SQUAD) -> DataFrame:
+    """The nested JSON file called ``name`` anywhere below the first of ``folders`` that has one."""
+    for folder in folders:
+        reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name)
+        try:
+            found = reader.json(folder)
+        except AnalysisException:  # no such folder: the next one
+            continue
+        if found.inputFiles():
+            return found
+    raise FileNotFoundError(f"{name} is in none of {', '.join(folders)}")
+
+
+def source_documents(rows: DataFrame, source: str = "wiki") -> DataFrame:
+    """Texts of one source; a missing source counts as ``wiki``."""
+    return rows.where(F.coalesce("src", F.lit("wiki")) == source).select("text")
+
+
+def line_sources(lines: DataFrame) -> DataFrame:
+    """``value`` with ``src``, read from the head of a JSON line without parsing it; null for lines of another shape."""
+    head = F.regexp_extract("value", r'^\{"src": "([^"]*)"', 1)
+    return lines.withColumn("src", F.when(F.rlike("value", F.lit(r'^\{"src": "[^"]*"')), head))
+
+
+def eval_items(spark: SparkSession, path: str, fallback: DataFrame, n: int = 0) -> DataFrame:
+    """The first ``n`` items of a JSON-lines file by id (0: all), or ``fallback`` if there is no file."""
+    found, _ = first_readable(spark, [path], EVAL_ITEM)
+    items = fallback if found is None else found
+    return items.orderBy("id").limit(n) if n else items
+
+
 def text_lines(spark: SparkSession, path: str, drop_empty: bool = True) -> DataFrame:
     lines = spark.read.text(path)
     return lines.where("value <> ''") if drop_empty else lines

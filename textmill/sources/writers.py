@@ -15,8 +15,8 @@ def write_partitioned(df: DataFrame, path: str, *columns: str, mode: str = "over
 
 
 def corpus_lines(df: DataFrame, *columns: str, one_line: bool = False) -> DataFrame:
-    """One row per filled column, or one per row with columns joined by blanks; newlines become blanks."""
-    flat = [F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "[\r\n]+", " ") for c in columns]
+    """One row per filled column, or one per row with columns joined by blanks; each newline becomes a blank."""
+    flat = [F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "\r\n|[\r\n]", " ") for c in columns]
     if one_line:
         value = F.concat_ws(" ", *(F.when(c != "", c) for c in flat))
         return df.select(value.alias("value")).where("value <> ''")
@@ -39,9 +39,22 @@ def merged(base: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return base.join(batch.select(key).distinct(), key, "left_anti").unionByName(batch, allowMissingColumns=True)
 
 
+def merge_into(spark: SparkSession, path: str, batch: DataFrame, fmt: str = "json") -> None:
+    """Rebuild ``path`` from its first state and ``batch``: running again never doubles the batch.
+
+    The first run keeps that state beside it, under ``path.base``.
+    """
+    base = f"{path.rstrip('/')}.base"
+    at = spark._jvm.org.apache.hadoop.fs.Path(base)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        spark.read.format(fmt).load(path).write.format(fmt).save(base)
+    first = spark.read.format(fmt).load(base)
+    first.unionByName(batch, allowMissingColumns=True).write.format(fmt).mode("overwrite").save(path)
+
+
 def appended(ledger: DataFrame, entries: DataFrame, key: str) -> DataFrame:
-    """``ledger`` and the entries whose key it has not; of repeated entries one."""
-    new = entries.join(ledger.select(key), key, "left_anti").dropDuplicates([key])
+    """``ledger`` and the entries whose key it has not; of repeated entries the smallest."""
+    new = entries.join(ledger.select(key), key, "left_anti").groupBy(key).agg(F.min(F.struct(*entries.columns)).alias("e")).select("e.*")
     return ledger.unionByName(new, allowMissingColumns=True)
 
 
