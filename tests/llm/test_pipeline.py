@@ -90,3 +90,24 @@ def test_last_stage_decodes(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "encode_documents", lambda docs, **_: coded)
     with pytest.raises(Exception, match="do not decode to the text of document 1"):
         corpus_pipeline.encode(spark, frame, SF).collect()
+
+
+EDGE = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, removed int, score string, found_id long, gone int"
+
+
+def test_composed_stages_take_edge_rows(spark):
+    long = "the quick brown fox jumps over the lazy dog and runs home again"
+    texts = [None, "", " \n\t ", "!!", long, long, long + " today", "x" * 300_000, "one\n\none", "Les.\n" + long + "\nLes."]
+    rows = [(i, t, "en", None, None, "dotted", 1, None, None, None) for i, t in enumerate(texts)]
+    rows += [(None, long + " by null", None, "s", 1, None, None, "0.5", 7, 1), (5, long, "en", None, None, "dotted", 1, None, None, None)]
+    real = [(100 + r.doc_id, r.text, r.lang, r.source, r.n_chars, "", 0, "", 0, 0) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    for some in (rows + real, []):
+        docs = spark.createDataFrame(some, EDGE)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            if name != "sentencepiece":
+                assert out.columns == docs.columns and set(out.columns) >= {"a.b", "removed"}
+                docs = spark.createDataFrame(out.collect(), EDGE)
+                assert {r["a.b"] for r in docs.select("`a.b`").collect()} <= {"dotted", "", None}
+        kept = out.collect()
+        assert len(kept) <= len(some) and all(r.n_tokens == len(r.ids) for r in kept) and (not some or len(kept) > 20)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,14 +13,17 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir``; a temporary folder is set only where the
-    session names none, as in local tests.
+    It is ``spark.checkpoint.dir``.  Where the session names none, as in local
+    tests, a temporary folder is set; on a cluster that is an error, as each
+    machine would write to its own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="textmill-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return str(named).rstrip("/")
