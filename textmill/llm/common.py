@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +56,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def extended(df: DataFrame, more: str, skip: int = 1) -> StructType:
+    """The schema of ``df`` without its first ``skip`` columns and with those of the DDL string ``more``."""
+    return StructType([*df.schema.fields[skip:], *StructType.fromDDL(more).fields])
+
+
 def fold(column: str | Column, buckets: int) -> Column:
     """``crc32(column as text) mod buckets``, null for null."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % buckets

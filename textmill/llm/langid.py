@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import fold, materialize
+from textmill.llm.common import extended, fold, materialize
 from textmill.llm.shingles import mix, slices, span_hashes
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -213,8 +213,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
     """
     base = docs.select(F.col(text_col).alias("__text"), *keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[1:])
-    return base.mapInArrow(lambda it: _predict(it, shared), f"{schema}, lang_pred string, score double")
+    return base.mapInArrow(lambda it: _predict(it, shared), extended(base, "lang_pred string, score double"))
 
 
 def language_folds(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm.common import extended
 from textmill.llm.labels import labelled_sample
 from textmill.llm.shingles import slices
 from textmill.llm.tokens import DIGIT, LETTER, OTHER, tokenize
@@ -222,6 +223,5 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     """
     base = docs.select(F.col(text_col).alias("__text"), *keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[1:])
-    scored = base.mapInArrow(lambda it: _scores(it, shared), f"{schema}, score double")
+    scored = base.mapInArrow(lambda it: _scores(it, shared), extended(base, "score double"))
     return scored.withColumn("predicted", (F.col("score") >= keep_from).cast("int"))

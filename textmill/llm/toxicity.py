@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import materialize
+from textmill.llm.common import extended, materialize
 from textmill.llm.labels import labelled_sample
 from textmill.llm.shingles import mix, slices
 from textmill.llm.tokens import LETTER, tokenize
@@ -271,6 +271,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     """
     base = docs.select(F.col(text_col).alias("__text"), *keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[1:])
-    scored = base.mapInArrow(lambda it: _scores(it, shared), f"{schema}, score double, passages array<struct<first:int,last:int,weight:double>>")
+    scored = base.mapInArrow(lambda it: _scores(it, shared), extended(base, "score double, passages array<struct<first:int,last:int,weight:double>>"))
     return scored.withColumn("predicted", (F.col("score") >= toxic_from).cast("int"))
