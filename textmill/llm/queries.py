@@ -82,23 +82,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": rf"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM word, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+), link AS (
+  SELECT a, b FROM shared JOIN size i ON i.doc_id = a JOIN size j ON j.doc_id = b WHERE 100 * shared.n >= 85 * (i.n + j.n - shared.n)
+), edge AS (
+  SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach AS (
+  SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM reach r JOIN edge e ON e.a = r.id
+), component AS (
+  SELECT id, min(c) AS c FROM reach GROUP BY id
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, c = d.doc_id AS kept FROM documents d JOIN component ON id = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_id
+""",
+    "op8_embedding_dedup": r"""
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM sound x JOIN sound y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.98
+), edge AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT e.b, r.c FROM reach r JOIN edge e ON e.a = r.id
+), component AS (
+  SELECT id, min(c) AS c FROM reach GROUP BY id
+)
+SELECT v.vec_id, (SELECT count(*) FROM edge WHERE a = v.vec_id) AS n_links, c AS component_id, c = v.vec_id AS kept FROM embeddings v JOIN component ON id = v.vec_id
+""",
     "op9_decontamination": r"""
 WITH doc AS (
   SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS w FROM documents
 ), item AS (
   SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark
 ), item_sh AS (
-  SELECT DISTINCT item_id, array_to_string(w[i : i + 4], ' ') AS s
+  SELECT DISTINCT item_id, least(len(w), 5) AS n, array_to_string(w[i : i + 4], ' ') AS s
   FROM item, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0
 ), size AS (
   SELECT item_id, count(*) AS n_item FROM item_sh GROUP BY item_id
+), length AS (
+  SELECT DISTINCT least(len(w), 5) AS n FROM item WHERE len(w) > 0
 ), doc_sh AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
-  FROM doc, unnest(range(1, len(w) - 3)) AS t(i) WHERE len(w) >= 5
+  SELECT DISTINCT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS s
+  FROM doc, length, unnest(range(1, greatest(len(w) - n + 2, 1))) AS t(i)
 )
 SELECT d.doc_id, i.item_id, any_value(z.n_item) AS n_item, count(*) AS n_shared, round(count(*) / any_value(z.n_item), 6) AS containment
-FROM doc_sh d JOIN item_sh i USING (s) JOIN size z ON z.item_id = i.item_id
+FROM doc_sh d JOIN item_sh i USING (s, n) JOIN size z ON z.item_id = i.item_id
 GROUP BY d.doc_id, i.item_id HAVING count(*) * 100 >= any_value(z.n_item) * 80
 """,
     "op2_url_filter": r"""
