@@ -27,9 +27,10 @@ MAX_BROADCAST_KEYS = 1_000_000
 CROWDED, CELL_BITS, MOST_HALVINGS, HEAD = 192, 56, 3, 64
 
 
-CELL_STEP = random.Random(5).getrandbits(CELL_BITS - 6) | 1
+#: Points of neighbouring cells lie far apart within them, so that two bins which borrow from a third take different hashes.
+CELL_STEP = random.Random(5).getrandbits(CELL_BITS) | 1
 #: The fixed point of each bin, in a cell of its own.
-POINTS = tuple((cell << CELL_BITS) + cell * CELL_STEP for cell in range(BINS))
+POINTS = tuple((cell << CELL_BITS) + cell * CELL_STEP % (1 << CELL_BITS) for cell in range(BINS))
 
 
 def _canonical(line: str) -> str:
