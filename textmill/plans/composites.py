@@ -34,7 +34,7 @@ def guard_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), U.comparable(F.col("text")).alias("t"))
     facts = table(spark, sf_dir, "benchmark").select("item_id", U.comparable(F.col("text")).alias("f"))
     found = leakage.coverage(asked, "id", F.col("t"), facts, "item_id", F.col("f"))
-    return found.select("id", F.round("score", 6).alias("score"), "item_id")
+    return found.select("id", F.round(F.round("score", 9), 6).alias("score"), "item_id")
 
 
 @query()
