@@ -73,9 +73,14 @@ def hash_order(*columns: str, seed: str = "0") -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *(F.col(c).cast("string") for c in columns)))
 
 
+def hash_number(*columns: str, seed: str = "0") -> Column:
+    """A fixed pseudo-random whole number under 2 ** 32 per row."""
+    return F.conv(F.substring(hash_order(*columns, seed=seed), 1, 8), 16, 10).cast("long")
+
+
 def hash_uniform(*columns: str, seed: str = "0") -> Column:
     """A fixed pseudo-random number in [0, 1) per row."""
-    return F.conv(F.substring(hash_order(*columns, seed=seed), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return hash_number(*columns, seed=seed) / 4294967296.0
 
 
 def sample_exactly(df: DataFrame, n: int, key: str, seed: str = "0") -> DataFrame:
