@@ -12,7 +12,7 @@ import sentencepiece
 from textmill.llm.langid import fit_language_model, predict_language
 from textmill.llm.quality import fit_quality, score_quality
 from textmill.llm.secret_scan import scan_secrets, span_digest
-from textmill.llm.sentencepiece_codec import MODEL, decode_documents, encode_documents
+from textmill.llm.sentencepiece_codec import MODEL, codec, decode_documents, encode_documents
 from textmill.llm.toxicity import ToxicityModel, fit_toxicity, maximal_segments, score_toxicity
 from textmill.llm.url_filter import Automaton, judge_urls, split_url
 
@@ -70,6 +70,8 @@ TEXTS = ["Hello  world", " lead", "a\nb", "", " ", "  ", "trail ", "trail  ", "\
 def test_encoding_equals_the_library_and_returns(spark):
     rng = random.Random(1)
     texts = TEXTS + ["".join(rng.choices("ab \n\té日.", k=rng.randrange(1, 400))) for _ in range(60)]
+    # without blanks: Han characters, base64, and what the vocabulary lacks
+    texts += ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000)), "".join(rng.choices("ABCXYZabcxyz0189+/", k=3000)), "".join(rng.choices(["the", "ing", "語", "\n", "▁", "😀", "ő"], k=900)).replace("▁", "")]
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rows = [*enumerate(texts), (None, "x"), (900, None), (0, "Hello  world")]
     # 64 characters already count as giant, so that texts are split and joined
@@ -86,6 +88,18 @@ def test_encoding_equals_the_library_and_returns(spark):
     assert encode_documents(docs(spark, [(1, "a ▁ b")]), check=True).first().round_trip
 
 
+def test_texts_without_blanks_are_split():
+    with open(MODEL, "rb") as f:
+        own = codec(f.read())
+    rng = random.Random(2)
+    for text in ("".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(5000)), "".join(rng.choices("ABCXYZabcxyz0189+/", k=5000))):
+        for size in (1, 7, 500):
+            places = [0, *own.cuts(text, size), len(text)]
+            parts = [text[a:b] if a else " " + text[:b] for a, b in zip(places, places[1:], strict=False)]
+            assert len(parts) > 2000 // size and max(map(len, parts)) < size + 100
+            assert sum((own.encode_part(p) for p in parts), []) == own.processor.encode(text)
+
+
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 SECRETS = [
     'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x',

@@ -19,6 +19,9 @@ SPACE = "▁"
 #: A unit is a run of blanks with the run of other characters after it.
 UNIT = re.compile(r" *[^ ]+| +")
 
+#: Put before a part that begins inside a unit, so that the model's own blank stays apart from it.
+GUARD = "\n"
+
 PROBES = ("a  b", " a", "a ", "   ", "a\tb\n c \r\n", "ﬁ Å\u00a0x\u3000y", "a" + " " * 40 + "b")
 
 _codecs: dict[bytes, Codec] = {}
@@ -27,21 +30,25 @@ _codecs: dict[bytes, Codec] = {}
 class Codec:
     """One model in one process.
 
-    Merges never cross a place between a non-blank and a blank when no piece
-    holds a blank after a non-blank, which is checked against the whole
-    vocabulary.  Seen as a scan over boundary states, every such place has a
-    single state, so the transfer between units is the identity: units are
-    encoded apart, remembered, and their pieces joined.  With other models
-    whole texts go to the library.
+    Merges never cross a place between two characters that no piece holds side
+    by side, nor one between a non-blank and a blank when no piece holds a
+    blank after a non-blank; both are checked against the whole vocabulary.
+    Seen as a scan over boundary states, every such place has a single state,
+    so the transfer between units is the identity: units are encoded apart,
+    remembered, and their pieces joined.  With other models whole texts go to
+    the library.
     """
 
     def __init__(self, model: bytes):
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.cache: dict[str, list[int]] = {"": [self.processor.piece_to_id(SPACE)]}
-        pieces = (self.processor.id_to_piece(i) for i in range(self.processor.vocab_size()))
+        pieces = [self.processor.id_to_piece(i) for i in range(self.processor.vocab_size())]
+        self.pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.separable = all(SPACE not in p.lstrip(SPACE) for p in pieces)
         # a model that rewrites its input is not separable
         self.separable = self.separable and all(self.encode(p) == self.processor.encode(p) for p in PROBES)
+        self.guard = self.processor.encode(GUARD)
+        self.guarded = not any(GUARD in pair for pair in self.pairs)
 
     def unit(self, key: str) -> list[int]:
         """Ids of a unit that begins with a blank, which the model adds by itself."""
@@ -58,23 +65,28 @@ class Codec:
         return self.encode_part(" " + text) if self.separable else self.processor.encode(text)
 
     def encode_part(self, part: str) -> list[int]:
-        """Ids of a text, or a later part of one, from its first blank on; the model sees a blank before every text."""
+        """Ids of a text with a blank before it, which the model adds by itself, or of a later part, cut at one of ``cuts``."""
         if not self.separable:
             return self.processor.encode(part[1:])
         out: list[int] = []
         for unit in UNIT.findall(part.replace(SPACE, " ")):
-            out += self.unit(unit[1:])
+            out += self.unit(unit[1:]) if unit[0] == " " else self.processor.encode(GUARD + unit)[len(self.guard) :]
         return out
 
+    def joins(self, before: str, after: str) -> bool:
+        """Whether a piece can cross the place between two characters."""
+        before, after = before.replace(" ", SPACE), after.replace(" ", SPACE)
+        return before == SPACE if after == SPACE else not self.guarded or before + after in self.pairs
+
     def cuts(self, text: str, size: int) -> list[int]:
         """Places, at least ``size`` apart, where the text can be split without changing its ids."""
         found, at = [], size
-        while self.separable and 0 <= (at := text.find(" ", at)):
-            if text[at - 1] not in (" ", SPACE):
+        while self.separable and at < len(text):
+            if self.joins(text[at - 1], text[at]):
+                at += 1
+            else:
                 found.append(at)
                 at += size
-            else:
-                at += 1
         return found
 
 
@@ -96,7 +108,7 @@ def _encode(batches: Iterator[pa.RecordBatch], model, check: bool, parts: bool =
             columns = [*part.columns[:-1], pa.array(ids, pa.list_(pa.int32()))]
             names = [*part.schema.names[:-1], "ids"]
             if check:
-                same = [None if i is None else own.processor.decode(i) == t[parts:].replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
+                same = [None if i is None else own.processor.decode(i) == t[parts and t[:1] in (" ", SPACE) :].replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
                 columns, names = [*columns, pa.array(same, pa.bool_())], [*names, "round_trip"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
