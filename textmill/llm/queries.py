@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.llm.centroids import centroid_clusters
+from textmill.llm.collocations import collocations
 from textmill.llm.common import table
 from textmill.llm.decontaminate import contaminations
 from textmill.llm.embedding_dedup import embedding_components
 from textmill.llm.labels import held_out_column
 from textmill.llm.langid import fit_language_model, language_folds, predict_language
+from textmill.llm.license_scan import license_digest, scan_licenses
 from textmill.llm.line_dedup import line_report
 from textmill.llm.minhash_dedup import minhash_components
 from textmill.llm.quality import fit_quality, score_quality
@@ -69,6 +72,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model, keep=("doc_id", "held_out")).withColumn("n_passages", F.size("passages")).drop("passages")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document, exact places and edited ones; see :func:`scan_licenses` for edge rows."""
+    return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language; see :func:`collocations` for edge rows."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every sound vector; see :func:`centroid_clusters` for edge rows."""
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_url_filter": op2_url_filter,
@@ -80,10 +98,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_license_scan": op11_license_scan,
+    "op12_collocations": op12_collocations,
+    "op13_centroids": op13_centroids,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_ASSIGN = """a{now} AS MATERIALIZED (
+  SELECT vec_id, s.p, c, list_sum(list_transform(list_zip(s.p, k.p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM sound s, c{old} k
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1
+)"""
+_ROUND = (
+    _ASSIGN
+    + """, m{now} AS (
+  SELECT c, i, sum(p[i]) AS t, count(*) AS n FROM a{now}, unnest(range(1, 65)) AS u(i) GROUP BY c, i
+), c{now} AS MATERIALIZED (
+  SELECT c, coalesce(q, k.p) AS p FROM c{old} k
+  LEFT JOIN (SELECT c, list(((t - ((t % n) + n) % n) // n)::BIGINT ORDER BY i) AS q FROM m{now} GROUP BY c) USING (c)
+)"""
+)
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": rf"""
 WITH RECURSIVE word AS (
@@ -164,5 +199,45 @@ SELECT n.page_id, n.host, n.path, b.rule,
        WHEN n.host LIKE 'spam-%' OR ('.' || n.host) LIKE '%.cheap-pills.%' OR n.host LIKE '%casino%' OR n.path LIKE '%.exe'
        THEN 'block' ELSE 'allow' END AS verdict
 FROM named n LEFT JOIN best b ON b.page_id = n.page_id AND b.rn = 1
+""",
+    "op12_collocations": rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), word AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece
+), gram AS (
+  SELECT lang, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS phrase FROM word
+), f AS MATERIALIZED (
+  SELECT lang, len(string_split(phrase, ' ')) AS m, phrase, count(*) AS f FROM gram GROUP BY lang, phrase
+), total AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang
+), candidate AS MATERIALIZED (
+  SELECT lang, m, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10
+), cut AS (
+  SELECT lang, m, phrase, f AS a, k, array_to_string(w[1 : k], ' ') AS lp, array_to_string(w[k + 1 :], ' ') AS rp FROM candidate, unnest(range(1, m)) AS t(k)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, ((1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f))::BIGINT AS score, k
+  FROM cut c JOIN f l ON l.lang = c.lang AND l.phrase = lp JOIN f r ON r.lang = c.lang AND r.phrase = rp
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS pick FROM scored
+), inside AS (
+  SELECT lang, array_to_string(w[i : i + 1], ' ') AS phrase, max(f) AS most FROM candidate, unnest([1, 2]) AS t(i) WHERE m = 3 GROUP BY 1, 2
+), ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE pick = 1 AND NOT coalesce(100 * most >= 50 * a, false)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+""",
+    "op13_centroids": f"""
+WITH sound AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)::BIGINT) AS p FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1)::INT AS c, p FROM sound QUALIFY c < 8
+), {", ".join(_ROUND.format(now=n, old=n - 1) for n in range(1, 11))}, {_ASSIGN.format(now=11, old=10)}, cluster AS (
+  SELECT c, sum(d)::BIGINT AS cluster_inertia FROM a11 GROUP BY c
+)
+SELECT vec_id, a11.c AS cluster, d AS distance, cluster_inertia, (SELECT sum(d)::BIGINT FROM a11) AS inertia, sha256(array_to_string(c10.p, ',')) AS centroid_sha256
+FROM a11 JOIN cluster USING (c) JOIN c10 USING (c)
 """,
 }
