@@ -23,8 +23,8 @@ LEAST, LONGEST, TOP, COVERED = 10, 3, 2000, 50
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
 #: Rows of a level that may be broadcast to a join.
 MAX_BROADCAST = 200_000
-#: Bytes of text counted together in a task; longer texts are cut between words.
-CHUNK = 1 << 22
+#: Bytes of text split into words at once, longer texts being cut between words; and words of a language counted together in a task.
+CHUNK, HELD = 1 << 20, 5 << 19
 
 _CHARS = bytes(
     0x0A if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 0x09 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)
@@ -73,8 +73,11 @@ def frequent_filter(level: DataFrame) -> Filter:
     return Filter(bits, words)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], carry: int) -> Iterator[tuple[str, bytes, int]]:
-    """Language, text of about ``CHUNK`` bytes with pieces ended by newlines, and how many of its first words were in the one before."""
+def _chunks(batches: Iterator[pa.RecordBatch], carry: int) -> Iterator[tuple[str, bytes]]:
+    """Language and text of about ``CHUNK`` bytes with pieces ended by newlines.
+
+    A text that is cut goes on with the last ``carry`` words, too few for a phrase by themselves.
+    """
     held: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
     for batch in batches:
@@ -85,62 +88,79 @@ def _chunks(batches: Iterator[pa.RecordBatch], carry: int) -> Iterator[tuple[str
                 cut = max(text.rfind(end, start + 1, start + CHUNK) for end in (b" ", b"\n"))
                 if cut < 0:  # one word longer than a chunk
                     cut = min((x for x in (text.find(b" ", start + CHUNK), text.find(b"\n", start + CHUNK)) if x > 0), default=len(text))
-                yield lang, b" ".join([*last, text[start:cut]]), len(last)
+                yield lang, b" ".join([*last, text[start:cut]])
                 begun = text.rfind(b"\n", start, cut) + 1
                 last = [*([] if begun else last), *(w for w in text[begun or start : cut].split(b" ") if w)]
                 start, last = cut, last[-carry:] if carry else []
             if start:
-                yield lang, b" ".join([*last, text[start:]]), len(last)
+                yield lang, b" ".join([*last, text[start:]])
                 continue
             held.setdefault(lang, []).append(text)
             size[lang] = size.get(lang, 0) + len(text)
             if size[lang] >= CHUNK:
-                yield lang, b"\n".join(held.pop(lang)), 0
+                yield lang, b"\n".join(held.pop(lang))
                 size[lang] = 0
     for lang, texts in held.items():
-        yield lang, b"\n".join(texts), 0
+        yield lang, b"\n".join(texts)
 
 
-def _phrases(text: bytes, length: int, lang: bytes, filters: list[Filter], seen: int) -> tuple[list[bytes], np.ndarray, int]:
-    """Phrases of ``length`` words whose overlapping parts may be frequent, their counts, and the number of words."""
-    numbers = _Numbers()
+def _coded(text: bytes, numbers: _Numbers) -> np.ndarray:
+    """The numbers of the words and ends of pieces, with an end behind."""
     tokens = text.replace(b"\n", b" \n ").split(b" ")
-    code = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-    code = code[code != _BLANK]
-    words = list(numbers)
-    spoken = code != _END
-    total = int(spoken.sum()) - seen
+    code = np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens))
+    return np.append(code[code != _BLANK], np.int32(_END))
+
+
+def _phrases(code: np.ndarray, words: list[bytes], length: int, lang: bytes, filters: list[Filter]) -> tuple[list[bytes], np.ndarray]:
+    """Phrases of ``length`` words whose overlapping parts may be frequent, and their counts."""
     if length == 1:
-        own, counts = np.unique(code[seen:][spoken[seen:]], return_counts=True)  # words seen before are the first ones
-        return [words[i] for i in own], counts, total
+        counts = np.bincount(code, minlength=len(words))
+        own = np.flatnonzero(counts[2:]) + 2
+        return [words[i] for i in own], counts[own]
     may = np.zeros(len(words), bool)
     may[2:] = filters[0].has(lang, words[2:])
     part, names = np.where(may[code], code, -1), words  # the phrase of the level below that begins at each place
     for n in range(2, length + 1):
         both = np.flatnonzero((part[:-1] >= 0) & (part[1:] >= 0))
-        pairs, which, counts = np.unique(part[both] * len(words) + code[both + n - 1], return_inverse=True, return_counts=True)
-        made = [names[p // len(words)] + b" " + words[p % len(words)] for p in pairs.tolist()]
+        pairs = part[both].astype(np.int64) * len(words) + code[both + n - 1]
         if n == length:
-            return made, counts, total
-        kept = filters[n - 1].has(lang, made) if made else np.zeros(0, bool)
-        part = np.full(max(len(part) - 1, 0), -1, np.int64)
+            found, counts = np.unique(pairs, return_counts=True)
+        else:
+            found, which = np.unique(pairs, return_inverse=True)
+        made = [names[p // len(words)] + b" " + words[p % len(words)] for p in found.tolist()]
+        if n == length:
+            return made, counts
+        kept = filters[n - 1].has(lang, made)
+        part = np.full(max(len(part) - 1, 0), -1, np.int32)
         part[both] = np.where(kept[which], which, -1)
         names = made
     raise AssertionError
 
 
 def _emit(batches: Iterator[pa.RecordBatch], length: int, filters: list) -> Iterator[pa.RecordBatch]:
-    held = [f.value for f in filters]
-    for lang, text, seen in _chunks(batches, length - 1):
-        phrases, counts, total = _phrases(text, length, lang.encode(), held, seen)
+    told = [f.value for f in filters]
+    held: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
+
+    def counted(lang: str) -> Iterator[pa.RecordBatch]:
+        numbers, codes = held.pop(lang)
+        code = np.concatenate(codes)
+        phrases, counts = _phrases(code, list(numbers), length, lang.encode(), told)
         if length == 1:  # a null phrase: all words
-            phrases, counts = [*phrases, None], np.append(counts, total)
+            phrases, counts = [*phrases, None], np.append(counts, (code != _END).sum())
         for at in range(0, len(phrases), 50_000):
             some = phrases[at : at + 50_000]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()), pa.array(counts[at : at + 50_000], pa.int64())], names=["lang", "phrase", "n"]
             )
 
+    for lang, text in _chunks(batches, length - 1):
+        numbers, codes = held.setdefault(lang, (_Numbers(), []))
+        codes.append(_coded(text, numbers))
+        if sum(map(len, codes)) >= HELD:
+            yield from counted(lang)
+    for lang in list(held):
+        yield from counted(lang)
+
 
 def phrase_levels(docs: DataFrame, text_col: str, lang_col: str, longest: int, least: int) -> tuple[list[DataFrame], DataFrame]:
     """``(lang, phrase, n)`` of the frequent phrases of 1 to ``longest`` words, and ``(lang, n)`` of all words."""
