@@ -59,6 +59,10 @@ def test_small_scans(spark, tmp_path):
     assert readers.newest_file(spark, f"{tmp_path}/c", "*.pt").first().path.endswith("ckpt_3.pt")
     frame = spark.createDataFrame([("a", ["x"], "s")], "id string, expected_any array<string>, name string")
     assert readers.keyword_column(frame) == "expected_any" and readers.keyword_column(frame.drop("expected_any")) is None
+    two = spark.createDataFrame([([], None), ([], ["y"])], "keywords array<string>, answers array<string>")
+    assert readers.keyword_column(two) == "answers"
+    raw = spark.createDataFrame([(1, " "), (2, "a"), (3, "b")], "id long, text string")
+    assert [r.id for r in readers.cleaned_head(raw, "id", 2, F.when(F.trim("text") != "", F.col("text"))).collect()] == [2]
     assert [r.id for r in readers.after_prefix(spark.range(10), "id", 7).orderBy("id").collect()] == [7, 8, 9]
     assert readers.after_prefix(spark.range(3), "id", 5).count() == 0
     fallback = spark.createDataFrame([("z",), ("b",)], "id string")
@@ -163,7 +167,7 @@ def test_rarest_grams_lose_no_match(spark, monkeypatch):
     a, b = spark.createDataFrame(rows, "id long, t string"), spark.createDataFrame(held, "h long, t string")
     for of_held in (False, True):
         want = leakage.gram_matches(a, "id", T.bigrams(F.col("t")), b, "h", T.bigrams(F.col("t")), 0.7, of_held).collect()
-        monkeypatch.setattr(leakage, "MAX_BROADCAST_TEXTS", 5)
+        monkeypatch.setattr(leakage, "MAX_BROADCAST_GRAMS", 5)
         got = leakage.gram_matches(a, "id", T.bigrams(F.col("t")), b, "h", T.bigrams(F.col("t")), 0.7, of_held).collect()
         monkeypatch.undo()
         assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 10
@@ -214,8 +218,10 @@ def test_exact_samples(spark):
         assert sorted(r.k for r in ordered.sample_exactly(frame, n, "k").collect()) == sorted(order[:n])
     split = mixing.last_share(frame, "k")
     assert split.where("split = 'val'").agg(F.min("k"), F.count("*")).first() == (450, 50)
-    with pytest.raises(ValueError):
-        mixing.oversampled(spark.range(mixing.MAX_POOL + 1), 3, "id")
+    got = {r.i: r.k for r in mixing.oversampled(frame.where("k < 7"), 20, "k").collect()}
+    first = [k for k in order if k < 7]
+    assert got == {i: first[i % 7] for i in range(20)}
+    assert mixing.oversampled(frame, 3, "k").count() == 3 and mixing.oversampled(frame.limit(0), 3, "k").count() == 0
 
 
 def test_evaluation_takes_missing_predictions(spark):

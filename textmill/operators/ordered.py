@@ -1,8 +1,9 @@
 """Operators that depend on row order, without one task per group.
 
 A running sum over a whole group would put a large group into one task.  Here
-a group's order column is cut into ranges; sums per range are small and their
-running sum is added to one within each range.
+rows are cut into ranges of about equal size by group and order together,
+wherever Spark's sample of them says; each range of a group has one sum, and
+the running total of these few is added to the one within each range.
 """
 
 from __future__ import annotations
@@ -13,33 +14,35 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 1024
+from textmill.sources import scratch
+
+
+def in_ranges(df: DataFrame, group: list[str], order: str, ties: tuple[str, ...] = (), name: str = "__range") -> DataFrame:
+    """``df`` with ``name``, numbering ranges of rows that are consecutive by group, order and ties.
+
+    The bounds come from a sample of the rows, so neither a large group nor an
+    outlier of the order fills a range.  Only rows equal in all these columns
+    can't be parted.  The rows are written, as every reader must see the same ranges.
+    """
+    held = df.repartitionByRange(*group, order, *ties).withColumn(name, F.spark_partition_id())
+    return scratch.kept(held, "ranges")
 
 
 def running_total(df: DataFrame, group: list[str], order: str, value: Column, name: str = "before", ties: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over earlier rows of the group.
 
-    ``order`` is an integer column; equal values are ordered by ``ties``.
+    ``order`` is any column that sorts; equal values are ordered by ``ties``.
+    Null groups are one group.
     """
     keys = [f"__g{i}" for i in range(len(group))]
-    renamed = [F.col(g).alias(k) for g, k in zip(group, keys, strict=True)]
-    same = lambda: [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys, strict=True)]
-
-    def met(left: DataFrame, right: DataFrame, *more: Column) -> DataFrame:
-        on = [*same(), *more]
-        return left.join(right, reduce(and_, on)) if on else left.join(F.broadcast(right))  # without a group: one row
-
-    bounds = df.groupBy(*renamed).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    width = F.ceil((F.col("__hi") - F.col("__lo") + 1) / RANGES)
-    ranged = met(df, bounds).select(*df.columns, F.floor((F.col(order) - F.col("__lo")) / width).alias("__range"), value.cast("double").alias("__value"))
-    sums = ranged.groupBy(*renamed, F.col("__range").alias("__r")).agg(F.sum("__value").alias("__sum"))
-    earlier = Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = in_ranges(df.withColumn("__value", value.cast("double")), group, order, ties)
+    sums = ranged.groupBy(*(F.col(g).alias(k) for g, k in zip(group, keys, strict=True)), F.col("__range").alias("__r")).agg(F.sum("__value").alias("__sum"))
+    earlier = Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range, however large the group
     offsets = sums.select(*keys, "__r", F.coalesce(F.sum("__sum").over(earlier), F.lit(0.0)).alias("__offset"))
     within = Window.partitionBy(*group, "__range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    out = met(ranged, offsets, F.col("__range") == F.col("__r")).withColumn(
-        name, F.col("__offset") + F.coalesce(F.sum("__value").over(within), F.lit(0.0))
-    )
-    return out.select(*df.columns, name)
+    same = [*(F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys, strict=True)), F.col("__range") == F.col("__r")]
+    out = ranged.withColumn("__within", F.coalesce(F.sum("__value").over(within), F.lit(0.0))).join(offsets, reduce(and_, same))
+    return out.withColumn(name, F.col("__offset") + F.col("__within")).select(*df.columns, name)
 
 
 def keep_first(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -86,24 +89,24 @@ def hash_uniform(*columns: str, seed: str = "0") -> Column:
 def sample_exactly(df: DataFrame, n: int, key: str, seed: str = "0") -> DataFrame:
     """``n`` rows without replacement, by hash order of a unique ``key``.
 
-    Hashes are counted by their first five digits, which are few at any size;
-    only the rows of the digits where the ``n``-th falls are ordered.
+    Hashes are counted by their first five digits, at most 16^5 of them
+    whatever the number of rows, and the digits where the ``n``-th falls are
+    found by running sums; only the rows with these digits are ordered.
     """
     if n <= 0:
         return df.limit(0)
     digits = F.substring(hash_order(key, seed=seed), 1, 5)
-    upto = counted = 0
-    border = None
-    for row in df.groupBy(digits.alias("d")).count().orderBy("d").toLocalIterator():  # at most 16 ** 5 rows, one at a time
-        counted += row["count"]
-        if counted >= n:
-            border = row["d"]
-            break
-        upto = counted
+    counts = df.groupBy(digits.alias("d"), F.substring(digits, 1, 2).alias("head")).agg(F.count("*").alias("n"))
+    heads = counts.groupBy("head").agg(F.sum("n").alias("of_head"))  # 256 of them: one task sums these, 256 the rest
+    before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(F.col("head").alias("h"), F.coalesce(F.sum("of_head").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("head").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.join(F.broadcast(heads), F.col("head") == F.col("h")).select("d", "n", (F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("upto"))
+    border = placed.where((F.col("upto") < n) & (F.col("upto") + F.col("n") >= n)).first()
     if border is None:
         return df
-    last = df.where(digits == border).orderBy(hash_order(key, seed=seed), key).limit(n - upto)
-    return df.where(digits < border).unionByName(last)
+    last = df.where(digits == border["d"]).orderBy(hash_order(key, seed=seed), key).limit(n - border["upto"])
+    return df.where(digits < border["d"]).unionByName(last)
 
 
 def systematic_sample(df: DataFrame, order: str, n: int) -> DataFrame:

@@ -10,7 +10,6 @@ from textmill.functions import udfs as U
 from textmill.operators import chat, generation, imports, leakage, mixing, ordered
 from textmill.plans.queries import query, table
 from textmill.sources import readers, scratch, writers
-from textmill.streaming import files
 
 
 @query("SELECT CASE WHEN source = 'src1' THEN 'wiki' ELSE source END AS src, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
@@ -57,18 +56,6 @@ def reading_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("id", "input", "answer", T.split_whole_hash(F.concat("title", "context"), 100).alias("split"))
 
 
-@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
-def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a file stream, counted per day and type into a sink that repeated batches overwrite."""
-    path = scratch.folder(spark, "stream")
-    events = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
-    events.write.mode("overwrite").parquet(f"{path}/in")
-    rows = files.watch(spark, f"{path}/in", events.schema.simpleString()[7:-1].replace(":", " "), files_per_trigger=100_000)  # one batch: a day's count is whole
-    files.into(files.windowed_counts(rows, "ts", "event_type", "value"), f"{path}/state", files.replace_batch(f"{path}/out"), mode="update")
-    done = spark.read.parquet(f"{path}/out")
-    return done.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
-
-
 @query("SELECT 'supplier.parquet' AS name")
 def newest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file whose name is last in order."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.sources import storage
+
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
@@ -42,14 +46,20 @@ def merged(base: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 def merge_into(spark: SparkSession, path: str, batch: DataFrame, fmt: str = "json") -> None:
     """Rebuild ``path`` from its first state and ``batch``: running again never doubles the batch.
 
-    The first run keeps that state beside it, under ``path.base``.
+    The first run keeps that state beside it, under ``path.base``.  A state
+    whose copy came to no end is copied again: until the copy is whole
+    ``path`` has not been touched.  The merged rows are written aside and
+    take ``path``'s place only when they are whole.
     """
-    base = f"{path.rstrip('/')}.base"
-    at = spark._jvm.org.apache.hadoop.fs.Path(base)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    path = path.rstrip("/")
+    base, aside = f"{path}.base", f"{path}.next"
+    if not storage.finished(spark, base):
+        storage.remove(spark, base)
         spark.read.format(fmt).load(path).write.format(fmt).save(base)
     first = spark.read.format(fmt).load(base)
-    first.unionByName(batch, allowMissingColumns=True).write.format(fmt).mode("overwrite").save(path)
+    first.unionByName(batch, allowMissingColumns=True).write.format(fmt).mode("overwrite").save(aside)
+    storage.remove(spark, path)
+    storage.move(spark, aside, path)
 
 
 def appended(ledger: DataFrame, entries: DataFrame, key: str) -> DataFrame:
@@ -65,6 +75,20 @@ def processed_name(path: str) -> str:
     return f"{folder}/{stem}_processed{dot}{rest}" if folder else f"{stem}_processed{dot}{rest}"
 
 
+def write_observed(df: DataFrame, path: str, metrics: list[Column], fmt: str = "json", report_path: str = "", mode: str = "overwrite") -> dict:
+    """Write ``df`` and return ``metrics``, named aggregates of what was written, from the same pass over it.
+
+    The rows are computed once: the metrics ride along with the sink's job.
+    With ``report_path`` they are also written there, as one JSON line.
+    """
+    seen = Observation()
+    df.observe(seen, *metrics).write.format(fmt).mode(mode).save(path)
+    found = seen.get
+    if report_path:
+        df.sparkSession.createDataFrame([(json.dumps(found, ensure_ascii=False, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(report_path)
+    return found
+
+
 def report(spark: SparkSession, metrics: DataFrame, path: str) -> None:
     """Metrics, few rows by construction, as one JSON file."""
     metrics.coalesce(1).write.mode("overwrite").json(path)
