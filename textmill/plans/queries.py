@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textmill.functions import text as T
 from textmill.functions import udfs as U
 from textmill.operators import chat, leakage, mixing, ordered, scoring
-from textmill.sources import writers
+from textmill.sources import scratch, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,7 +171,7 @@ SELECT doc_id, item_id, round(count(*) / (any_value(n) + any_value(m) - count(*)
 GROUP BY doc_id, item_id HAVING count(*) / (any_value(n) + any_value(m) - count(*)) >= 0.5
 """)
 def heldout_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, held = scratch.spread(table(spark, sf_dir, "documents"), "doc_id"), table(spark, sf_dir, "benchmark")
     norm = U.comparable_folded(F.col("text"))
     rows, other = docs.select("doc_id", norm.alias("dn")), held.select("item_id", norm.alias("bn"))
     found = leakage.leaks(rows, "doc_id", F.col("dn"), other, "item_id", F.col("bn"), threshold=0.5)
@@ -190,7 +190,7 @@ SELECT item_id, count(*) AS n_docs, round(max(share), 9) AS best FROM (
 def heldout_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each held-out text's character pairs in documents."""
     bare = T.bigrams(F.regexp_replace("text", "(?U)\\s+", ""), False)
-    docs = table(spark, sf_dir, "documents").select("doc_id", bare.alias("grams"))
+    docs = scratch.spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", bare.alias("grams"))
     held = table(spark, sf_dir, "benchmark").select("item_id", bare.alias("grams"))
     found = leakage.gram_matches(docs, "doc_id", F.col("grams"), held, "item_id", F.col("grams"), 0.95, of_held=True)
     share = F.col("shared") / F.col("m")

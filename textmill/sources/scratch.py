@@ -39,3 +39,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession, name)}/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` dealt over as many partitions as a shuffle has, for costly work on the rows of few or large files."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
