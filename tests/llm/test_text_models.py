@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import sentencepiece
 
-from textmill.llm.langid import fit_language_model, predict_language
+from textmill.llm.labels import labelled_sample
+from textmill.llm.langid import fit_language_model, predict_language, predict_texts
 from textmill.llm.quality import fit_quality, score_quality
 from textmill.llm.secret_scan import scan_secrets, span_digest
 from textmill.llm.sentencepiece_codec import MODEL, codec, decode_documents, encode_documents
@@ -252,3 +253,20 @@ def test_pipeline_on_the_smallest_tables(spark, name):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "minhash_dedup", "decontamination", "sentencepiece"]
     rows = got.collect()
     assert 0 < len(rows) <= 200 and len({r.doc_id for r in rows}) == len(rows) and got.columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_copies_of_one_text_stay_in_the_sample_and_rare_languages_too(spark):
+    english, spanish = "the cat is on the mat with the dog", "el gato está sobre la mesa con el perro"
+    rows = [(i, english, "en") for i in range(900)] + [(900 + i, f"{spanish} {i}", "es") for i in range(100)]
+    model = fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs=100, least_docs=20)
+    assert model.langs == ("en", "es") and [predict_texts(model, [t])[0][0] for t in (english, spanish)] == ["en", "es"]
+    rows = [(i, f"the cat number {i} is on the mat", "en") for i in range(3000)] + [(3000, "zorp blik quax", "qq")]
+    model = fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs=300)
+    assert model.langs == ("en", "qq") and predict_texts(model, ["zorp blik quax"])[0] == ["qq"]
+
+
+def test_a_labelled_id_gives_one_row_however_often_it_occurs(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b"), (2, None), (None, "c"), (3, "held out or unlabelled")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    found = labelled_sample(docs, labels, "toxic", 1, 9, 100).collect()
+    assert sorted(map(tuple, found)) == [("b", 0), ("text 0", 1)]

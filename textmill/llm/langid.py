@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ from textmill.llm.shingles import mix, slices, span_hashes
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the fit: labelled documents, words, n-grams kept for each length, languages.
 MAX_FIT_DOCS, MAX_WORDS, MAX_GRAMS, MAX_LANGS = 10_000, 60_000, 30_000, 200
+#: Documents of each language that are used however rare it is beside others; all of them if it has fewer.
+LEAST_FIT_DOCS = 100
 GRAMS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 
@@ -164,23 +167,31 @@ def fit_language_model(
     max_words: int = MAX_WORDS,
     max_grams: int = MAX_GRAMS,
     max_langs: int = MAX_LANGS,
+    least_docs: int = LEAST_FIT_DOCS,
 ) -> LanguageModel:
-    """Fit on at most about ``max_docs`` labelled documents, chosen by a hash of their text.
+    """Fit on at most about ``max_docs`` labelled documents, and ``least_docs`` of each language.
 
-    Rows with a null text or language are not used.  The model holds the
+    Documents are chosen language by language by a hash of all their columns,
+    the id included, so that neither copies of one text nor a rare language
+    fall out together.  Rows with a null text or language are not used; a
+    language none of whose rows was chosen is not learned.  The model holds the
     ``max_langs`` most frequent languages, ``max_words`` words and
     ``max_grams`` n-grams of each length, most frequent first (ties in code
     point order), so its size does not depend on the input's.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    per_lang = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    langs = tuple(sorted(r["lang"] for r in per_lang))
-    total = sum(r["count"] for r in per_lang)
-    if not langs:
+    place = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in labelled.columns if labelled.schema[c].dataType.typeName() not in ("map", "variant"))), F.lit(1_000_000))
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), place.alias("place")).where("text is not null and lang is not null")
+    per_lang = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    total = sum(per_lang.values())
+    if not per_lang:
         return LanguageModel((), {n: _log_table(n, [], [], 0) for n in (0, *GRAMS)})
-    rows = rows.where(F.col("lang").isin(*langs))
     if total > max_docs:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * max_docs / total))
+        upto = {lang: math.ceil(1_000_000 * max(max_docs / total, least_docs / n)) for lang, n in per_lang.items()}
+        limit = F.create_map(*(F.lit(x) for pair in upto.items() for x in pair))[F.col("lang")]
+    else:
+        limit = F.lit(1_000_000)
+    rows = materialize(rows.where(F.col("lang").isin(*per_lang) & (F.col("place") < limit)).select("text", "lang"), "fit")
+    langs = tuple(sorted(r["lang"] for r in rows.select("lang").distinct().collect()))  # max_langs at most
     counted = rows.mapInArrow(_pieces, "size int, piece string, lang string, n long")
     by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)) for lang in langs]
     pieces = materialize(counted.groupBy("size", "piece").agg(F.sum("n").alias("total"), F.array(*by_lang).alias("by")), "pieces")

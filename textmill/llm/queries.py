@@ -25,48 +25,58 @@ from textmill.llm.url_filter import judge_urls
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents at 85 percent; see :func:`minhash_components` for edge rows."""
     return minhash_components(table(spark, sf_dir, "documents"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url; see :func:`judge_urls` for edge rows."""
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines to remove of every document, short ones by equality; see :func:`removed_lines` for edge rows."""
     return line_report(table(spark, sf_dir, "documents"), exact_chars=1)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of every document's ids, and whether they decode to its text; see :func:`encode_documents` for edge rows."""
     encoded = encode_documents(table(spark, sf_dir, "documents"), check=True)
     return encoded.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "round_trip")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, base and linked ones; see :func:`scan_secrets` for edge rows."""
     return span_digest(scan_secrets(table(spark, sf_dir, "documents")))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by a model of the other folds; see :func:`predict_language` for edge rows."""
     docs = language_folds(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     model = fit_language_model(docs.where("not held_out"))
     return predict_language(docs, model, keep=("doc_id", "held_out"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document by a model of the other folds; see :func:`score_quality` for edge rows."""
     docs = held_out_column(table(spark, sf_dir, "documents").select("doc_id", "text"), folds=5, held_out=0)
     model = fit_quality(docs, table(spark, sf_dir, "labels"), folds=5, held_out=0)
     return score_quality(docs, model, keep=("doc_id", "held_out"))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of each label; see :func:`embedding_components` for edge rows."""
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items inside documents; see :func:`contaminations` for edge rows."""
     found = contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_item", "n_shared", F.round("containment", 6).alias("containment"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document by a model of the other folds; see :func:`score_toxicity` for edge rows."""
     docs = held_out_column(table(spark, sf_dir, "documents").select("doc_id", "text"), folds=3, held_out=1)
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), folds=3, held_out=1)
     return score_toxicity(docs, model, keep=("doc_id", "held_out")).withColumn("n_passages", F.size("passages")).drop("passages")
