@@ -9,7 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.operators import imports, leakage, ordered, permutation, scoring
+from textmill.functions import text as T
+from textmill.operators import chat, imports, leakage, ordered, permutation, scoring
 from textmill.sources import readers, scratch, stages, storage, token_files, writers
 from textmill.streaming import files, keyed, ledger
 
@@ -400,3 +401,43 @@ def test_scratch_is_shared_or_an_error(spark, monkeypatch):
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         with pytest.raises(RuntimeError):
             scratch.base(Elsewhere())
+
+
+def test_coverage_of_several_priors_is_that_of_each(spark):
+    facts = spark.createDataFrame([(1, "富士山の高さ"), (2, "日本の首都"), (3, "海の色")], "fact long, t string")
+    rows = spark.createDataFrame([(1, "富士山", 1), (2, "日本の首都", 2), (3, "zz", None)], "id long, q string, own long")
+    whole = leakage.coverages(rows, "id", F.col("q"), facts, "fact", F.col("t"), [4.0, 16.0], F.col("own")).collect()
+    for prior in (4.0, 16.0):
+        one = leakage.coverage(rows, "id", F.col("q"), facts, "fact", F.col("t"), prior, F.col("own")).collect()
+        assert sorted((r.id, r.score, r.fact) for r in whole if r.prior == prior) == sorted((r.id, r.score, r.fact) for r in one) and len(one) == 3
+
+
+def test_turns_of_several_shapes(spark):
+    turn = "array<struct<role:string,from:string,text:string,content:string,value:string>>"
+    user, bot, late = ("user", None, "q ", None, None), (None, "gpt", None, None, "a"), ("assistant", None, "", "b", None)
+    rows = [(1, [], [user, bot], None, "i", "o"), (2, [bot, user], None, None, "i", "o"), (3, None, None, [user, user, late], "i", "o"), (4, None, None, None, " i ", "o"), (5, None, [], None, "i", None)]
+    frame = spark.createDataFrame(rows, f"id long, x {turn}, y {turn}, z {turn}, i string, o string")
+    got = frame.select("id", chat.pair_or_fields(chat.first_turns(F.col("x"), F.col("y"), F.col("z")), F.col("i"), F.col("o")).alias("p")).collect()
+    assert {r.id: r.p and tuple(r.p) for r in got} == {1: ("q", "a"), 2: ("i", "o"), 3: ("q", "b"), 4: ("i", "o"), 5: None}
+
+
+def test_reading_samples_lose_what_is_held_out(spark):
+    asked = lambda i, q: {"id": i, "question": q, "is_impossible": False, "answers": [{"text": "two", "answer_start": 4}]}
+    made = [{"title": t, "paragraphs": [{"context": "one two three。", "qas": [asked(f"{t}{n}", q) for n, q in enumerate(qs)]}]} for t, qs in (("A", ["富士山の高さは？", "海の色は？"]), ("B", ["日本の首都は？"]), ("C", ["山は？"]))]
+    squad = spark.createDataFrame([(made,)], readers.SQUAD)
+    docs = spark.createDataFrame([(1, "Lead sentence that is long enough to sum up.\n" + "Lead sentence that is long enough.\n" * 8), (2, None)], "k long, t string")
+    held_out = spark.createDataFrame([(1, "海の色は?")], "h long, t string")
+    got = imports.reading_samples(squad, docs, "k", "t", lambda c: F.replace(c, F.lit("？"), F.lit("?")), held_out, "h", "t", unanswerable=0.5, stop=".").collect()
+    ids = {r.task: sorted(x.id for x in got if x.task == r.task) for r in got}
+    assert ids["reading"] == ["A0", "B0", "C0"] and ids["summary"] == ["sum_1"]
+    assert all(i.startswith("unans_") and i != "unans_A1" for i in ids.get("unanswerable", [])) and all(r.answer == chat.UNANSWERABLE for r in got if r.task == "unanswerable")
+
+
+def test_batches_are_padded_and_numbers_read(spark):
+    rows = spark.createDataFrame([(1, [5, 6], None, [7]), (2, [5], [8], []), (3, [5, 6, 7, 8], [], [9])], "o long, p array<int>, c array<int>, a array<int>")
+    got = {r.o: r for r in imports.training_batches(rows, "o", F.col("p"), F.col("c"), F.col("a"), 2, 1, 2, 0, 5).collect()}
+    assert (got[1].input_ids, got[1].labels, got[1].prompt_ids) == ([1, 5, 6, 7, 2], [1, 5, 6, 7, 2], [1, 5, 6])
+    assert (got[2].input_ids, got[2].labels, got[2].prompt_ids) == ([1, 5, 8, 2, 0], [1, 5, 8, 2, -100], [1, 5, 0])
+    assert (got[3].input_ids, got[3].batch, got[3].prompt_ids) == ([1, 5, 6, 7, 8], 1, [1, 5, 6, 7, 8])
+    numbers = spark.createDataFrame([(" 1,234.5 ",), ("x",), (None,), ("-3",)], "t string").select(T.to_number(F.col("t")).alias("n")).collect()
+    assert [r.n for r in numbers] == [1234.5, None, None, -3.0]

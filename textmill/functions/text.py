@@ -357,6 +357,16 @@ def padded(ids: Column, width: Column, value: int) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(value), F.greatest(width - F.size(ids), F.lit(0)).cast("int")))
 
 
+def labels_for(ids: Column, width: Column) -> Column:
+    """Targets of a padded row: its ids, and -100, which a loss leaves out, where there is padding."""
+    return padded(ids, width, -100)
+
+
+def to_number(c: Column) -> Column:
+    """A number written with or without commas and outer blanks; null for other texts."""
+    return F.replace(strip(c), F.lit(","), F.lit("")).try_cast("double")
+
+
 def warmup_cosine(progress: Column, peak: float, floor: float, warmup: float) -> Column:
     """Learning rate at a share of the training: linear warm-up to ``peak``, then a cosine to ``floor``."""
     t = F.least(F.lit(1.0), (progress - warmup) / max(1.0 - warmup, 1e-9))

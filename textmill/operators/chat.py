@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import text as T
 from textmill.functions.udfs import window_context
+from textmill.operators.ordered import hash_number
 
 # --- Fixed values -----------------------------------------------------------
 READ_PROMPT = "次の文章を読んで、質問に答えてください。文章に書かれていないことは答えないでください。\n文章：%s\n質問：%s"
@@ -27,6 +28,20 @@ def chat_turns(conversations: Column) -> Column:
     )
 
 
+def first_turns(*columns: Column) -> Column:
+    """The first of several columns of turns that has any, as :func:`chat_turns`; all have the same fields."""
+    return chat_turns(F.coalesce(*(F.when(F.size(c) > 0, c) for c in columns)))
+
+
+def pair_or_fields(turns: Column, instruction: Column, output: Column) -> Column:
+    """Struct ``(q, a)``: the first user turn that an assistant turn follows at once, else the row's two fields; null without either."""
+    pairs = F.zip_with(turns, F.slice(turns, F.lit(2), F.greatest(F.size(turns), F.lit(1))), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    fits = F.filter(pairs, lambda p: p["x"]["role"].isin(*USER_ROLES) & F.coalesce(p["y"]["role"].isin(*ASSISTANT_ROLES), F.lit(False)))
+    met = F.get(F.transform(fits, lambda p: F.struct(p["x"]["text"].alias("q"), p["y"]["text"].alias("a"))), F.lit(0))
+    q, a = T.collapse(instruction), T.collapse(output)
+    return F.coalesce(met, F.when((q != "") & (a != ""), F.struct(q.alias("q"), a.alias("a"))))
+
+
 def first_pairs(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """``(conv_id, q, a)``: the first user turn that an assistant turn follows at once, in each conversation."""
     order = Window.partitionBy(conversation).orderBy(turn)
@@ -99,14 +114,14 @@ def summary_items(docs: DataFrame, key: str, text: str, min_lead: int = 40, max_
     return out.where(fits & (T.overlap(F.col("lead"), F.col("body")) >= min_overlap)).select(key, "body", "lead")
 
 
-def unanswerable_items(reading: DataFrame, n: int, max_overlap: float = 0.12, tries: int = 8, seed: int = 0) -> DataFrame:
+def unanswerable_items(reading: DataFrame, n: int, max_overlap: float = 0.12, tries: int = 8, seed: str = "0") -> DataFrame:
     """Up to ``n`` questions with another article's text that hardly shares a pair of characters with them.
 
     Each question tries the rows a few hashed places further on; no product
     of all rows is formed.
     """
     size = max(1, reading.count())
-    placed = reading.withColumn("__h", F.xxhash64("id", F.lit(seed)))
+    placed = reading.withColumn("__h", hash_number("id", seed=seed))
     bounds = F.pmod("__h", F.lit(size))
     other = placed.select(bounds.alias("__slot"), F.col("title").alias("t2"), F.col("context").alias("c2"))
     mine = placed.select("id", "title", "question", F.explode(F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda k: F.pmod(F.col("__h") + k, F.lit(size)))).alias("__slot"))

@@ -37,6 +37,13 @@ def rubric(rows: DataFrame, cot: Column, answer: Column, category: Column, arith
     return out.withColumns({"score": score, "status": status, "needs_review": ~F.coalesce(is_sum, F.lit(False))})
 
 
+def rubric_result(score: str = "score", status: str = "status", review: str = "needs_review") -> Column:
+    """Struct ``(cot_quality_score, breakdown, status, needs_manual_review)`` of :func:`rubric` columns, numbers to four places; null without a score."""
+    parts = F.struct(*(F.round(p, 4).alias(p) for p in ("logic", "completeness", "conciseness")))
+    whole = F.struct(F.round(score, 4).alias("cot_quality_score"), parts.alias("breakdown"), F.col(status).alias("status"), F.col(review).alias("needs_manual_review"))
+    return F.when(F.col(score).isNotNull(), whole)
+
+
 def rubric_stats(scored: DataFrame, has_cot: Column) -> DataFrame:
     """One row: counts per status, mean score over scored rows, and the shares of adopted rows among scored and among all."""
     n = lambda c: F.count_if(c)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from textmill.functions import text as T
 from textmill.functions import udfs as U
-from textmill.operators import chat, imports, leakage, ordered, scoring
+from textmill.operators import chat, imports, leakage, mixing, ordered, scoring
 from textmill.plans.queries import _PAIRS, query, table
-from textmill.sources import readers, writers
+from textmill.sources import readers, scratch, writers
 
 _COMPARABLE = "translate(lower({}), '" + T.IGNORED.replace("'", "''") + "', '')"
 #: Distinct characters and pairs of a list of characters.
@@ -37,7 +37,23 @@ def guard_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.round(F.round("score", 9), 6).alias("score"), "item_id")
 
 
-@query()
+@query(f"""
+WITH b AS MATERIALIZED (SELECT item_id, {_COMPARABLE.format('text')} AS t FROM benchmark),
+a AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (SELECT 'own' AS kind, t, item_id AS own FROM b UNION ALL SELECT 'near', {_COMPARABLE.format('x')}, NULL FROM (SELECT DISTINCT text AS x FROM conversations)
+  UNION ALL SELECT 'far', {_COMPARABLE.format('x')}, NULL FROM (SELECT DISTINCT p_name AS x FROM part) UNION ALL SELECT 'short', {_COMPARABLE.format('x')}, NULL FROM (SELECT DISTINCT n_name AS x FROM nation))),
+n AS (SELECT count(DISTINCT item_id) AS n FROM b), bc AS (SELECT item_id, string_split(t, '') AS c FROM b WHERE t <> ''), bg AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_GRAMS12.format('c')}) AS g FROM bc),
+ac AS (SELECT id, own, string_split(t, '') AS c FROM a WHERE t <> ''), ag AS (SELECT id, own, unnest({_GRAMS12.format('c')}) AS g FROM ac), d AS (SELECT g, count(*) AS df FROM bg GROUP BY g),
+w AS MATERIALIZED (SELECT id, ag.own, ag.g, coalesce(df, 0) - (o.g IS NOT NULL)::INT AS df, ln((n - (ag.own IS NOT NULL)::INT + 1) / (coalesce(df, 0) - (o.g IS NOT NULL)::INT + 1)) + 1 AS idf
+  FROM ag, n LEFT JOIN d ON d.g = ag.g LEFT JOIN bg o ON o.item_id = ag.own AND o.g = ag.g),
+t AS (SELECT id, sum(idf) AS total FROM w GROUP BY id), c AS (SELECT id, bg.item_id, sum(idf) AS covered FROM w JOIN bg USING (g) WHERE df > 0 AND bg.item_id IS DISTINCT FROM own GROUP BY ALL),
+p(prior) AS (VALUES (4.0::DOUBLE), (8.0), (16.0)), s AS (SELECT id, prior, max(covered / (total + prior)) AS score FROM c JOIN t USING (id), p GROUP BY ALL),
+e AS (SELECT DISTINCT a.id FROM a JOIN b ON b.t = a.t AND b.item_id IS DISTINCT FROM a.own),
+k AS (SELECT kind, p.prior, round(CASE WHEN e.id IS NOT NULL THEN 1.0 ELSE coalesce(score, 0) END, 9) AS score FROM a CROSS JOIN p LEFT JOIN e ON e.id = a.id LEFT JOIN s ON s.id = a.id AND s.prior = p.prior),
+r AS (SELECT prior, threshold, coalesce(avg((score >= threshold)::INT) FILTER (WHERE kind = 'own'), 0) AS own, coalesce(avg((score >= threshold)::INT) FILTER (WHERE kind = 'near'), 0) AS near, coalesce(avg((score >= threshold)::INT) FILTER (WHERE kind = 'far'), 0) AS far,
+  coalesce(avg((score >= threshold)::INT) FILTER (WHERE kind = 'short'), 0) AS short FROM k, (VALUES (0.2::DOUBLE), (0.3), (0.4), (0.5), (0.65), (0.8)) x(threshold) GROUP BY ALL),
+o AS (SELECT *, near <= 0.5 AND far = 0 AND short = 0 AS ok FROM r), f AS (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY own DESC, prior, threshold) AS rn FROM o)
+SELECT prior, threshold, own, near, far, short, ok AND rn = 1 AS best FROM f
+""")
 def guard_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted shares per prior and threshold; held-out texts, scored without themselves, are the own questions."""
     bench = table(spark, sf_dir, "benchmark").select("item_id", U.comparable(F.col("text")).alias("t"))
@@ -46,11 +62,9 @@ def guard_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind, name, text in (("near", "conversations", "text"), ("far", "part", "p_name"), ("short", "nation", "n_name")):
         asked = asked.unionByName(part(table(spark, sf_dir, name).select(text).distinct(), kind, text))
     asked = asked.withColumn("id", F.xxhash64("kind", "t", "own"))
-    scored = None
-    for prior in (4.0, 8.0, 16.0):
-        found = leakage.coverage(asked, "id", F.col("t"), bench, "item_id", F.col("t"), prior, leave_out=F.col("own")).select("id", "score")
-        some = found.join(asked.select("id", "kind"), "id").select("kind", F.round("score", 9).alias("score"), F.lit(prior).alias("prior"))
-        scored = some if scored is None else scored.unionByName(some)
+    asked = scratch.kept(asked, "asked")  # the texts are normalised once
+    found = leakage.coverages(asked, "id", F.col("t"), bench, "item_id", F.col("t"), [4.0, 8.0, 16.0], leave_out=F.col("own"))
+    scored = found.join(asked.select("id", "kind"), "id").select("kind", F.round("score", 9).alias("score"), "prior")
     return leakage.tuned_guard(scored, "kind", "score", ["prior"], [0.2, 0.3, 0.4, 0.5, 0.65, 0.8], most_near=0.5)
 
 
@@ -185,9 +199,7 @@ def repeated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderkey) - 1 >= floor((SELECT count(*) FROM orders) * 0.9)::BIGINT THEN 'val' ELSE 'train' END AS split FROM orders""")
 def last_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last tenth of all orders for validation."""
-    from textmill.operators.mixing import last_share
-
-    return last_share(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.9)
+    return mixing.last_share(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.9)
 
 
 @query("SELECT DISTINCT lower(p_type) AS question FROM part UNION SELECT lower(p_brand) FROM part ORDER BY question")

@@ -288,3 +288,89 @@ def imported_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = table(spark, sf_dir, "benchmark").select("item_id", "text").unionByName(talks)
     found = imports.imported_pairs(sources, "o", 160, 300, U.comparable_folded, held, "item_id", "text", 0.6, val_share=0.1)
     return found.select("id", "source", F.md5("q").alias("q"), F.md5("a").alias("a"), "split")
+
+
+_GRAMS2 = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || {0}[i + 1]))"
+_TIGHT = "string_split(regexp_replace({}, '\\s+', '', 'g'), '')"
+_PROMPT = "'次の文章を読んで、質問に答えてください。文章に書かれていないことは答えないでください。' || chr(10) || '文章：' || {0} || chr(10) || '質問：' || {1}"
+_PARAGRAPHS = "list_filter(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')"
+
+
+@query(rf"""
+WITH r AS MATERIALIZED (SELECT p_partkey::VARCHAR AS id, p_brand AS title, p_name || '。' || p_type || '。' AS context, p_name || 'の種類は？' AS question, p_type AS answer FROM part WHERE p_partkey % 5 <> 0),
+h AS (SELECT *, ('0x' || substr(md5('0:' || id), 1, 8))::BIGINT AS h, (SELECT count(*) FROM r) AS size FROM r),
+m AS (SELECT x.id, x.question, y.title AS t2, y.context AS c2 FROM (SELECT *, unnest(range(1, 9)) AS k FROM h) x JOIN h y ON (x.h + k) % x.size = y.h % y.size AND x.title <> y.title),
+mc AS (SELECT *, {_TIGHT.format('question')} AS qc, {_TIGHT.format('c2')} AS cc FROM m),
+u AS (SELECT id, question, c2 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t2, c2, question) AS rn FROM mc WHERE len(list_intersect({_GRAMS2.format('qc')}, {_GRAMS2.format('cc')})) <= 0.12::DOUBLE * len({_GRAMS2.format('qc')})) WHERE rn = 1 ORDER BY id LIMIT (SELECT floor(count(*) * 0.25::DOUBLE)::BIGINT FROM r)),
+p AS (SELECT doc_id, {_PARAGRAPHS} AS ps FROM documents), l AS (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS i FROM p WHERE len(ps) >= 3),
+c AS (SELECT *, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l WHERE i > 1), b AS (SELECT doc_id, string_agg(x, '' ORDER BY i) AS body FROM c WHERE upto <= 4000 GROUP BY doc_id),
+j AS (SELECT doc_id, x AS lead, body FROM l JOIN b USING (doc_id) WHERE i = 1 AND length(x) BETWEEN 40 AND 160 AND x LIKE '%.' AND length(body) >= 200),
+g AS MATERIALIZED (SELECT *, {_TIGHT.format('lead')} AS lc, {_TIGHT.format('body')} AS bc FROM j),
+s AS (SELECT doc_id, body, lead FROM g WHERE len(list_intersect({_GRAMS2.format('lc')}, {_GRAMS2.format('bc')})) / len({_GRAMS2.format('lc')}) >= 0.3 ORDER BY doc_id LIMIT 8000),
+i AS MATERIALIZED (SELECT id, 'reading' AS task, {_PROMPT.format('context', 'question')} AS input, answer, question AS probe FROM r
+  UNION ALL SELECT 'unans_' || id, 'unanswerable', {_PROMPT.format('c2', 'question')}, '文章には書かれていないため、答えられません。', question FROM u
+  UNION ALL SELECT 'sum_' || doc_id, 'summary', '次の文章を、1〜2文で要約してください。' || chr(10) || '文章：' || body, lead, lead FROM s),
+held AS (SELECT item_id, {_FOLDED.format('text')} AS h FROM benchmark UNION ALL SELECT 10000 + n_nationkey, {_FOLDED.format("p_name || 'の種類は？'")} FROM nation JOIN part ON p_partkey = n_nationkey + 1 WHERE n_nationkey < 5),
+hc AS (SELECT item_id, string_split(h, '') AS c FROM held), hg AS (SELECT item_id, len({_PAIRS2.format('c')}) AS m, unnest({_PAIRS2.format('c')}) AS g FROM hc),
+ac AS (SELECT probe, string_split({_FOLDED.format('probe')}, '') AS c FROM (SELECT DISTINCT probe FROM i)), ag AS (SELECT probe, len({_PAIRS2.format('c')}) AS n, unnest({_PAIRS2.format('c')}) AS g FROM ac),
+leaky AS (SELECT DISTINCT probe FROM (SELECT probe, item_id, count(*) / (any_value(n) + any_value(m) - count(*)) AS jac FROM ag JOIN hg USING (g) GROUP BY probe, item_id) WHERE jac >= 0.7)
+SELECT id, task, md5(input) AS input, md5(answer) AS answer, CASE WHEN list_reduce(list_transform(range(1, 33), lambda x: ('0x' || substr(md5(input), x, 1))::BIGINT), lambda a, b: (a * 16 + b) % 1000) < 10 THEN 'val' ELSE 'train' END AS split FROM i WHERE probe NOT IN (SELECT probe FROM leaky)
+UNION ALL SELECT 'old_' || n_nationkey, 'old', md5(n_name), md5(''), 'train' FROM nation
+""")
+def reading_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading, unanswerable and summary samples without leaks, merged twice into a file that held other rows."""
+    path = scratch.folder(spark, "reading")
+    part, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    head = F.concat("p_brand", F.lit(" [SEP] "))
+    answer = F.struct(F.col("p_type").alias("text"), (F.length(head) + F.length("p_name") + 1).alias("answer_start"))
+    question = F.concat("p_name", F.lit("の種類は？"))
+    asked = F.struct(F.col("p_partkey").cast("string").alias("id"), question.alias("question"), (F.col("p_partkey") % 5 == 0).alias("is_impossible"), F.array(answer).alias("answers"))
+    paragraph = F.struct(F.concat(head, "p_name", F.lit("。"), "p_type", F.lit("。")).alias("context"), F.array(asked).alias("qas"))
+    part.select(F.array(F.struct(F.lit("other").alias("title"), F.array(paragraph).alias("paragraphs"))).alias("data")).write.json(f"{path}/squad")
+    named = nation.where("n_nationkey < 5").join(part, F.col("p_partkey") == F.col("n_nationkey") + 1).select((F.col("n_nationkey") + 10000).cast("long").alias("item_id"), question.alias("text"))
+    held = table(spark, sf_dir, "benchmark").select("item_id", "text").unionByName(named)
+    docs = scratch.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    found = imports.reading_samples(readers.jsonl(spark, f"{path}/squad", readers.SQUAD), docs, "doc_id", "text", U.comparable_folded, held, "item_id", "text", body_chars=4000, stop=".")
+    kept = scratch.kept(found, "samples")
+    old = nation.select(F.concat(F.lit("old_"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("old").alias("task"), F.col("n_name").alias("input"), F.lit("").alias("answer"), F.lit("train").alias("split"))
+    old.write.json(f"{path}/samples")
+    for _ in range(2):
+        writers.merge_into(spark, f"{path}/samples", kept)
+    rows = spark.read.schema("id string, task string, input string, answer string, split string").json(f"{path}/samples")
+    return rows.select("id", "task", F.md5("input").alias("input"), F.md5("answer").alias("answer"), "split")
+
+
+_BYTES = "list_transform(range(1, octet_length(encode({0})) + 1), lambda i: ('0x' || substr(hex(encode({0})), (2 * i - 1)::BIGINT, 2))::INT + 256)"
+
+
+@query(rf"""
+WITH r AS (SELECT p_partkey, (row_number() OVER (ORDER BY p_partkey) - 1) // 16 AS batch, {_BYTES.format('p_name')} AS p, {_BYTES.format('p_brand')} AS a FROM part),
+f AS (SELECT p_partkey, batch, list_concat([1], p, CASE WHEN p_partkey % 3 = 0 THEN a ELSE [] END, a, [2])[1:24] AS ids, list_concat([1], p[1:23]) AS q FROM r),
+w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS width, max(len(q)) OVER (PARTITION BY batch) AS prompts FROM f)
+SELECT p_partkey, batch, array_to_string(list_resize(ids, width, 0), ',') AS input_ids, array_to_string(list_resize(ids, width, -100), ',') AS labels, array_to_string(list_resize(q, prompts, 0), ',') AS prompt_ids FROM w
+""")
+def training_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and brands as byte tokens in batches of 16, padded, with labels that leave the padding out."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", T.byte_tokens(F.col("p_name")).alias("p"), T.byte_tokens(F.col("p_brand")).alias("a"))
+    reason = F.when(F.col("p_partkey") % 3 == 0, F.col("a"))
+    out = imports.training_batches(rows, "p_partkey", F.col("p"), reason, F.col("a"), 16, 1, 2, 0, 24)
+    return out.select("p_partkey", "batch", *(F.array_join(F.col(c), ",").alias(c) for c in ("input_ids", "labels", "prompt_ids")))
+
+
+@query("""
+WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 0.0 WHEN p_partkey % 4 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS logic, length(p_size || ' + 3 = ' || (p_size + CASE WHEN p_partkey % 5 = 0 THEN 14 ELSE 3 END)) AS n FROM part WHERE p_partkey % 6 <> 0),
+s AS (SELECT *, CASE WHEN n < 15 THEN 0.6 ELSE 0.95 END::DOUBLE AS concise FROM r)
+SELECT p_partkey, round(CASE WHEN logic < 0.5 THEN logic ELSE (logic + 0.5 + concise) / 3 END, 4) AS cot_quality_score, logic, 0.5::DOUBLE AS completeness, concise AS conciseness,
+  CASE WHEN logic < 0.5 THEN 'reject' WHEN (logic + 0.5 + concise) / 3 >= 0.75 THEN 'adopt' ELSE 'revise' END AS status, false AS needs_manual_review, 1000.0::DOUBLE + p_partkey AS number FROM s
+""")
+def rubric_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of the rubric as one struct to four places, and numbers read from texts with commas."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    said = lambda more: F.concat(size.cast("string"), F.lit(" + 3 = "), (size + more).cast("string"))
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.when(key % 5 == 0, said(14)).otherwise(said(3)).alias("cot"),
+        F.when(key % 4 == 0, "none").otherwise(F.concat((size + 3).cast("string"), F.lit("個"))).alias("answer"),
+    ).where("p_partkey % 6 <> 0")
+    judged = scoring.rubric(rows, F.col("cot"), F.col("answer"), F.lit("arithmetic")).select("p_partkey", scoring.rubric_result().alias("r"))
+    number = T.to_number(F.concat(F.lit(" "), F.format_number(F.col("p_partkey") + 1000, 0), F.lit(" ")))
+    return judged.select("p_partkey", "r.cot_quality_score", "r.breakdown.*", "r.status", "r.needs_manual_review", number.alias("number"))
