@@ -398,19 +398,6 @@ def summary_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summary_items(docs, "doc_id", "text", body_chars=4000, stop=".").select("doc_id", F.md5("body").alias("body"), "lead")
 
 
-@query("""SELECT lr.i AS step, round(CASE WHEN i / 100.0 < 0.1 THEN 0.001 * (i / 100.0) / 0.1 ELSE 0.0001 + 0.5 * 0.0009 * (1 + cos(3.141592653589793 * least(1.0, (i / 100.0 - 0.1) / 0.9))) END, 12) AS cosine,
-  round(CASE WHEN i < 10 THEN i / 10.0 ELSE greatest(0.0, 1 - (i - 10) / 90.0) END, 12) AS linear, (i + 1) * 1000::BIGINT * 64 + 128 * 64 + 4 * (4 * 64 * 64 + 4 * 64 + 2 * 64 * 256 + 256 + 64 + 4 * 64) + 2 * 64 AS params, round((i * (1 + 0.85) * 0.85 * 9 * 3600)::DOUBLE, 6) AS budget FROM range(0, 101) lr(i)""")
-def training_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lit = lambda x: F.lit(x).cast("long")
-    return spark.range(101).select(
-        F.col("id").alias("step"),
-        F.round(T.warmup_cosine(F.col("id") / 100.0, 1e-3, 1e-4, 0.1), 12).alias("cosine"),
-        F.round(T.warmup_linear(F.col("id"), 10, 100), 12).alias("linear"),
-        T.transformer_params((F.col("id") + 1) * 1000, lit(64), lit(4), lit(256), lit(128)).alias("params"),
-        F.round(T.tokens_per_budget(F.col("id"), F.lit(2), 0.85, F.lit(9)), 6).alias("budget"),
-    )
-
-
 @query("""WITH c AS (SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source) SELECT * FROM c ORDER BY chars DESC, source LIMIT 3""")
 def largest_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
@@ -447,32 +434,6 @@ def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.round(F.sum("value"), 6).alias("total"))
 
 
-@query()
-def arithmetic_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated problems: equations checked, corrected, scored, and their load per kind and overall."""
-    rows = mixing.problems(spark, 2000)
-    wrong = F.regexp_replace("cot", "= (\\d+)$", "= 1$1")
-    checked = rows.select(
-        "kind",
-        U.verify_equations(F.col("cot")).alias("holds"),
-        U.verify_arithmetic(F.col("cot"), F.col("answer")).alias("score"),
-        F.array_max(U.equation_loads(F.col("cot"))).alias("load"),
-        (U.correct_arithmetic(wrong) == F.col("cot")).alias("mended"),
-    )
-    return checked.rollup("kind").agg(
-        F.count("*").alias("n"), F.avg("score").alias("score"), F.avg("load").alias("mean_load"), F.max("load").alias("max_load"),
-        F.avg((F.col("load") >= 5).cast("int")).alias("heavy"), F.avg(F.col("holds").cast("int")).alias("holds"), F.avg(F.col("mended").cast("int")).alias("mended"),
-    )
-
-
-@query()
-def arithmetic_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long multiplications and divisions as equations."""
-    rows = mixing.problems(spark, 500)
-    steps = F.when(F.col("kind") == "split", U.division_steps(F.when(F.col("kind") == "split", F.col("a")).otherwise(4), F.when(F.col("kind") == "split", F.col("b")).otherwise(2))).otherwise(U.multiplication_steps(F.col("a"), F.col("b")))
-    return rows.select("id", "kind", "a", "b", steps.alias("steps")).withColumn("right", U.verify_equations(F.array_join("steps", "。")))
-
-
 @query()
 def corpus_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with layout symbols, cut into pieces of up to 1000 characters."""

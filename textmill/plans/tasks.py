@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions import text as T
 from textmill.functions import udfs as U
 from textmill.operators import chat, generation, imports, leakage, mixing, ordered
 from textmill.plans.queries import query, table
-from textmill.sources import readers, scratch, writers
+from textmill.sources import readers, scratch, storage, writers
 
 
 @query("SELECT CASE WHEN source = 'src1' THEN 'wiki' ELSE source END AS src, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
@@ -56,10 +56,18 @@ def reading_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("id", "input", "answer", T.split_whole_hash(F.concat("title", "context"), 100).alias("split"))
 
 
-@query("SELECT 'supplier.parquet' AS name")
+@query("""SELECT 'orders_' || year(o_orderdate) || '.parquet' AS name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders) GROUP BY 1""")
 def newest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The file whose name is last in order."""
-    return readers.newest_file(spark, sf_dir, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    """What is in the file whose name is last in order, of one file a year, some of them in folders further down."""
+    path = scratch.folder(spark, "years")
+    orders = table(spark, sf_dir, "orders").select("o_totalprice", F.year("o_orderdate").alias("year"))
+    orders.repartition("year").write.partitionBy("year").parquet(f"{path}/parts")
+    for part in storage.matching(spark, f"{path}/parts/year=*/*.parquet"):  # one a year
+        year = part.rsplit("year=", 1)[1].partition("/")[0]
+        storage.move(spark, part, f"{path}/named/{'deep/' * (int(year) % 2)}orders_{year}.parquet")
+    newest = readers.newest_file(spark, f"{path}/named", "orders_*.parquet").first()
+    rows = spark.read.parquet(newest["path"])
+    return rows.groupBy(F.lit(newest["path"].rsplit("/", 1)[1]).alias("name")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM (SELECT doc_id, source FROM documents ORDER BY doc_id OFFSET 20)) WHERE rn <= 50")
@@ -224,19 +232,83 @@ def leading_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _AT = "('0x' || substr(md5('0:{0}:' || i), 1, 8))::BIGINT % {1} + {2}"
+#: Problems of the parts' keys: kind, operands, result and text.
+_PROBLEMS = f"""n AS (SELECT p_partkey AS i, ['split', 'price', 'percent', 'speed', 'area'][p_partkey % 5 + 1] AS kind, {_AT.format('small', 8, 2)} AS small, {_AT.format('mid', 90, 10)} AS mid, {_AT.format('big', 900, 100)} AS big FROM (SELECT *, p_partkey AS i FROM part)),
+o AS (SELECT *, CASE kind WHEN 'split' THEN small * big WHEN 'percent' THEN big * 10 ELSE big END AS a, CASE kind WHEN 'split' THEN small ELSE mid END AS b FROM n),
+v AS (SELECT *, CASE kind WHEN 'split' THEN a // b WHEN 'percent' THEN a * b // 100 ELSE a * b END AS value FROM o),
+t AS (SELECT *, CASE kind WHEN 'split' THEN a || ' ÷ ' || b || ' = ' || value WHEN 'percent' THEN a || ' × ' || b || ' ÷ 100 = ' || value ELSE a || ' × ' || b || ' = ' || value END AS cot, kind <> 'percent' OR a * b % 100 = 0 AS holds FROM v)"""
 
 
-@query(f"""
-WITH n AS (SELECT i, ['split', 'price', 'percent', 'speed', 'area'][i % 5 + 1] AS kind, {_AT.format('small', 8, 2)} AS small, {_AT.format('mid', 90, 10)} AS mid, {_AT.format('big', 900, 100)} AS big FROM range(2000) t(i)),
-o AS (SELECT *, CASE kind WHEN 'split' THEN small * big WHEN 'percent' THEN big * 10 ELSE big END AS a, CASE kind WHEN 'split' THEN small ELSE mid END AS b FROM n),
-v AS (SELECT *, CASE kind WHEN 'split' THEN a // b WHEN 'percent' THEN a * b // 100 ELSE a * b END AS value FROM o)
-SELECT i AS id, kind, a, b, value, CASE kind WHEN 'split' THEN a || ' ÷ ' || b || ' = ' || value WHEN 'percent' THEN a || ' × ' || b || ' ÷ 100 = ' || value ELSE a || ' × ' || b || ' = ' || value END AS cot, kind <> 'percent' OR a * b % 100 = 0 AS holds, true AS mended FROM v
-""")
+def _problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.problems(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
+
+
+def _spoilt() -> Column:
+    """A problem's text with a wrong result, larger than any other number in it."""
+    return F.concat("cot", F.lit("77"))
+
+
+@query(f"WITH {_PROBLEMS} SELECT i AS id, kind, a, b, value, cot, holds, cot AS mended FROM t")
 def arithmetic_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated problems: whether their equations hold, which floored percentages don't, and whether spoilt results come right again."""
-    rows = mixing.problems(spark, 2000)
-    wrong = F.regexp_replace("cot", "= (\\d+)$", "= 1$1")
-    return rows.select("id", "kind", "a", "b", "value", "cot", U.verify_equations(F.col("cot")).alias("holds"), (U.correct_arithmetic(wrong) == F.col("cot")).alias("mended"))
+    """A problem for each part: whether its equation holds, which floored percentages don't, and its text after a spoilt result has been put right."""
+    rows = _problems(spark, sf_dir)
+    return rows.select("id", "kind", "a", "b", "value", "cot", U.verify_equations(F.col("cot")).alias("holds"), U.correct_arithmetic(_spoilt()).alias("mended"))
+
+
+@query(f"""WITH {_PROBLEMS}, l AS (SELECT *, length(rtrim(a::VARCHAR, '0')) * length(rtrim(b::VARCHAR, '0')) + (kind = 'percent')::INT AS load FROM t)
+SELECT kind, count(*) AS n, 1.0::DOUBLE AS score, round(avg(load), 9) AS mean_load, max(load)::INTEGER AS max_load, round(avg((load >= 5)::INT), 9) AS heavy, round(avg(holds::INT), 9) AS holds, 1.0::DOUBLE AS mended FROM l GROUP BY ROLLUP (kind)""")
+def arithmetic_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' problems: equations checked, corrected, scored, and their load per kind and overall."""
+    checked = _problems(spark, sf_dir).select(
+        "kind",
+        U.verify_equations(F.col("cot")).alias("holds"),
+        U.verify_arithmetic(F.col("cot"), F.col("answer")).alias("score"),
+        F.aggregate(U.equation_loads(F.col("cot")), F.lit(0), lambda a, b: a + b).alias("load"),
+        (U.correct_arithmetic(_spoilt()) == F.col("cot")).alias("mended"),
+    )
+    share = lambda c: F.round(F.avg(c.cast("int")), 9)
+    return checked.rollup("kind").agg(
+        F.count("*").alias("n"), F.avg("score").alias("score"), F.round(F.avg("load"), 9).alias("mean_load"), F.max("load").alias("max_load"),
+        share(F.col("load") >= 5).alias("heavy"), share(F.col("holds")).alias("holds"), share(F.col("mended")).alias("mended"),
+    )
+
+
+_FILLED = "list_filter(range(0, length({0}::VARCHAR)), lambda p: {0} // (10 ** p)::BIGINT % 10 > 0)"
+
+
+@query(f"""WITH {_PROBLEMS}, s AS (SELECT *, len({_FILLED.format('a')}) AS fa, {_FILLED.format('b')} AS pb, a // b AS q FROM t)
+SELECT i AS id, kind, a, b, (CASE WHEN kind = 'split' THEN len(list_filter(range(0, length(a::VARCHAR)), lambda p: a // (10 ** p)::BIGINT >= b)) + (q >= 10)::INT
+  ELSE len(list_filter(pb, lambda p: b // (10 ** p)::BIGINT % 10 > 1)) * (2 * fa - 1) + len(list_filter(pb, lambda p: p > 0)) + len(pb) - 1 END)::INTEGER AS n_steps,
+  (CASE WHEN kind = 'split' THEN q ELSE a * b END)::VARCHAR AS result, true AS hold FROM s""")
+def arithmetic_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' problems as long multiplications and divisions: how many steps, what they come to, and whether each holds."""
+    rows = _problems(spark, sf_dir)
+    split = F.col("kind") == "split"
+    steps = F.when(split, U.division_steps(F.when(split, F.col("a")).otherwise(4), F.when(split, F.col("b")).otherwise(2))).otherwise(U.multiplication_steps(F.col("a"), F.col("b")))
+    made = rows.select("id", "kind", "a", "b", steps.alias("steps"))
+    result = F.substring_index(F.element_at("steps", -1), "= ", -1)
+    return made.select("id", "kind", "a", "b", F.size("steps").alias("n_steps"), result.alias("result"), U.verify_equations(F.array_join("steps", "。")).alias("hold"))
+
+
+@query("""
+WITH p AS (SELECT doc_id, length(text) AS n, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(length(text)) OVER () AS total, row_number() OVER (ORDER BY doc_id) - 1 AS step, count(*) OVER () AS steps FROM documents),
+x AS (SELECT *, before::DOUBLE / total::DOUBLE AS t FROM p)
+SELECT doc_id, round(CASE WHEN t < 0.1 THEN 0.001 * t / 0.1 ELSE 0.0001 + 0.5 * 0.0009 * (1 + cos(3.141592653589793 * least(1.0, (t - 0.1) / 0.9))) END, 9) AS cosine,
+  round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE ELSE greatest(0.0, 1 - (step - 100) / (steps - 100)::DOUBLE) END, 9) AS linear, (n + 1000) * 64 + 128 * 64 + 4 * (4 * 64 * 64 + 4 * 64 + 2 * 64 * 256 + 256 + 64 + 4 * 64) + 2 * 64 AS params, round((n * (1 + 0.85) * 0.85 * 9 * 3600)::DOUBLE, 3) AS budget FROM x
+""")
+def training_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The learning rates at which each document in turn is read, by the characters and the documents before it, and sizes of a model and a budget that go with it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    whole = docs.agg(F.sum("n").alias("chars"), F.count("*").alias("docs")).first()
+    placed = ordered.running_total(ordered.running_total(docs, [], "doc_id", F.col("n"), "before"), [], "doc_id", F.lit(1), "step")
+    lit = lambda x: F.lit(x).cast("long")
+    return placed.select(
+        "doc_id",
+        F.round(T.warmup_cosine(F.col("before") / max(1, whole["chars"] or 0), 1e-3, 1e-4, 0.1), 9).alias("cosine"),
+        F.round(T.warmup_linear(F.col("step"), 100, whole["docs"]), 9).alias("linear"),
+        T.transformer_params(F.col("n").cast("long") + 1000, lit(64), lit(4), lit(256), lit(128)).alias("params"),
+        F.round(T.tokens_per_budget(F.col("n").cast("double"), F.lit(2), 0.85, F.lit(9)), 3).alias("budget"),
+    )
 
 
 @query(r"""WITH l AS (SELECT doc_id, string_split(replace(text, chr(9), '    '), chr(10)) AS ls FROM documents WHERE text <> '')
