@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textmill.functions import text as T
 from textmill.functions import udfs as U
 from textmill.operators import chat, imports, leakage, mixing, ordered, scoring
-from textmill.plans.queries import _PAIRS, query, table
+from textmill.plans.queries import _PAIRS, pieces_sql, query, table
 from textmill.sources import readers, scratch, writers
 
 _COMPARABLE = "translate(lower({}), '" + T.IGNORED.replace("'", "''") + "', '')"
@@ -157,11 +157,16 @@ def packed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select("p_brand", "block", F.md5(F.array_join("ids", ",")).alias("ids"), F.size("ids").alias("n"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE size AS (SELECT source, sum(length(text)) AS total FROM documents GROUP BY source),
+taken AS (SELECT d.* FROM documents d JOIN size USING (source) WHERE ('0x' || substr(md5('0:' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < least(1.0, 10000.0::DOUBLE * (substr(source, 4)::INTEGER + 1) / total)),
+{pieces_sql('taken')} SELECT doc_id, source, piece::INTEGER AS piece, md5(replace(text, chr(10), ' ')) AS line FROM piece
+""")
 def pretraining_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents sampled to a budget of characters per source, with layout symbols, cut into lines."""
-    docs = table(spark, sf_dir, "documents").where("source in ('src1', 'src2', 'src3')")
-    return imports.corpus_lines(docs, "doc_id", "source", "text", {"src1": 30_000.0, "src2": 60_000.0, "src3": 1e9})
+    """Documents sampled to a budget of characters for each source, with layout symbols, cut into lines."""
+    docs = table(spark, sf_dir, "documents")
+    budgets = {f"src{i}": 10_000.0 * (i + 1) for i in range(20)}
+    return imports.corpus_lines(docs, "doc_id", "source", "text", budgets).withColumn("line", F.md5("line"))
 
 
 @query("""

@@ -303,15 +303,15 @@ def decoding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.decoding_summary(table(spark, sf_dir, "documents"), "source", F.col("text"), keys)
 
 
-@query("""WITH t AS (SELECT doc_id AS id, md5(text) AS input, 'template' AS src FROM documents WHERE source = 'src1'), p AS (SELECT doc_id AS id, md5(text) AS input, 'public' AS src FROM documents WHERE source IN ('src2', 'src3')),
-r AS (SELECT doc_id AS id, md5(text) AS input, 'refusal' AS src FROM documents WHERE source IN ('src3', 'src4')),
+@query("""WITH d AS (SELECT doc_id AS id, md5(text) AS input, substr(source, 4)::INTEGER % 4 AS role FROM documents),
+t AS (SELECT id, input, 'template' AS src FROM d WHERE role = 0), p AS (SELECT id, input, 'public' AS src FROM d WHERE role IN (1, 2)), r AS (SELECT id, input, 'refusal' AS src FROM d WHERE role IN (2, 3)),
 kept AS (SELECT * FROM t ORDER BY md5('0:' || id), id LIMIT (SELECT count(*) FROM p)), everything AS (SELECT * FROM kept UNION ALL SELECT * FROM p UNION ALL SELECT * FROM r WHERE input NOT IN (SELECT input FROM p))
 SELECT id, src, CASE WHEN row_number() OVER (ORDER BY md5('1:' || id || '/' || src), id || '/' || src) <= 10 THEN 'val' ELSE 'train' END AS split FROM everything""")
 def mixed_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("input"), "source")
-    of = lambda df, name: df.select("id", "input", F.lit(name).alias("src"))
-    template, public = of(docs.where("source = 'src1'"), "template"), of(docs.where("source in ('src2', 'src3')"), "public")
-    rows = mixing.mixed(template, public, of(docs.where("source in ('src3', 'src4')"), "refusal"), "id", "input")
+    """Documents of all sources mixed, each source with a role or two."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("input"), (F.substring("source", 4, 9).cast("int") % 4).alias("role"))
+    of = lambda roles, name: docs.where(F.col("role").isin(*roles)).select("id", "input", F.lit(name).alias("src"))
+    rows = mixing.mixed(of([0], "template"), of([1, 2], "public"), of([2, 3], "refusal"), "id", "input")
     keyed = rows.withColumn("key", F.concat_ws("/", "id", "src"))
     return mixing.positional_split(keyed, "key", 10, seed="1").select("id", "src", "split")
 
@@ -434,7 +434,20 @@ def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.round(F.sum("value"), 6).alias("total"))
 
 
-@query()
+def pieces_sql(docs: str, limit: int = 1000) -> str:
+    """CTEs that end in ``piece (doc_id, source, piece, text)``: texts of a table with layout symbols, cut as ``chunk_text`` cuts them."""
+    head, soft = f"left(rest, {limit})", limit // 4
+    last = lambda mark: f"CASE WHEN contains({head}, '{mark}') THEN {limit + 1} - strpos(reverse({head}), '{mark[::-1]}') ELSE 0 END"
+    return f"""lined AS (SELECT doc_id, source, string_split(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(9), '    '), chr(10)) AS ls FROM {docs} WHERE text IS NOT NULL),
+coded AS (SELECT doc_id, source, array_to_string(list_transform(ls, lambda x: repeat('<i>', ((length(x) - length(ltrim(x, ' '))) // 4)::BIGINT) || ltrim(x, ' ')), '<nl>') AS t FROM lined),
+cut AS (
+  SELECT doc_id, source, -1 AS piece, '' AS text, t AS rest FROM coded UNION ALL
+  SELECT doc_id, source, piece + 1, CASE WHEN length(rest) > {limit} THEN left(rest, k) ELSE rest END, CASE WHEN length(rest) > {limit} THEN substr(rest, k + 1) ELSE '' END
+  FROM (SELECT *, CASE WHEN soft >= {soft} THEN soft ELSE {limit} END AS k FROM (SELECT *, greatest({last('<nl>')}, {last('。')}) AS soft FROM cut)) WHERE length(rest) > {limit} OR trim(rest) <> ''
+), piece AS (SELECT doc_id, source, piece, text FROM cut WHERE piece >= 0)"""
+
+
+@query(f"WITH RECURSIVE {pieces_sql('documents')} SELECT doc_id, piece::INTEGER AS piece, text FROM piece")
 def corpus_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with layout symbols, cut into pieces of up to 1000 characters."""
     coded = T.encode_layout(F.col("text"))

@@ -187,10 +187,10 @@ def topic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generation.topic_pairs(ask("nation", "n_name", "の面積は？"), ask("region", "r_name", "とは？"), ask("part", "p_name", "の意味を教えて"))
 
 
-@query("SELECT text FROM benchmark WHERE text IS NOT NULL UNION SELECT n_name FROM nation UNION SELECT p_name FROM part WHERE p_size = 7")
+@query("SELECT text FROM benchmark WHERE text IS NOT NULL UNION SELECT n_name FROM nation UNION SELECT p_name FROM part")
 def held_out_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out texts of items and lists."""
-    return generation.held_out(table(spark, sf_dir, "benchmark"), "text", table(spark, sf_dir, "nation").select("n_name"), table(spark, sf_dir, "part").where("p_size = 7").select("p_name"))
+    return generation.held_out(table(spark, sf_dir, "benchmark"), "text", table(spark, sf_dir, "nation").select("n_name"), table(spark, sf_dir, "part").select("p_name"))
 
 
 @query("""
