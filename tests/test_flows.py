@@ -441,3 +441,16 @@ def test_batches_are_padded_and_numbers_read(spark):
     assert (got[3].input_ids, got[3].batch, got[3].prompt_ids) == ([1, 5, 6, 7, 8], 1, [1, 5, 6, 7, 8])
     numbers = spark.createDataFrame([(" 1,234.5 ",), ("x",), (None,), ("-3",)], "t string").select(T.to_number(F.col("t")).alias("n")).collect()
     assert [r.n for r in numbers] == [1234.5, None, None, -3.0]
+
+
+def test_pairs_of_conversations_of_any_length(spark):
+    rng = random.Random(9)
+    rows = [(c, t, rng.choice(["system", "User", "assistant"]) if c else ("user" if t == 777 else "gpt" if t == 778 else "system"), f"{c} {t}") for c, n in [(0, 900), *((c, rng.randrange(1, 6)) for c in range(1, 80))] for t in range(n)]
+    rng.shuffle(rows)
+    want = {}
+    for c, t, role, text in sorted(rows, reverse=True):
+        after = next((r for r in rows if r[:2] == (c, t + 1)), None) if role.lower() == "user" else None
+        if after and after[2] in ("assistant", "gpt"):
+            want[c] = (text, after[3])
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    assert {r.conv_id: (r.q, r.a) for r in chat.first_pairs(frame).collect()} == want and want[0] == ("0 777", "0 778")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import text as T
 from textmill.functions.udfs import window_context
-from textmill.operators.ordered import hash_number
+from textmill.operators.ordered import hash_number, in_ranges
 
 # --- Fixed values -----------------------------------------------------------
 READ_PROMPT = "次の文章を読んで、質問に答えてください。文章に書かれていないことは答えないでください。\n文章：%s\n質問：%s"
@@ -43,13 +43,20 @@ def pair_or_fields(turns: Column, instruction: Column, output: Column) -> Column
 
 
 def first_pairs(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``(conv_id, q, a)``: the first user turn that an assistant turn follows at once, in each conversation."""
-    order = Window.partitionBy(conversation).orderBy(turn)
-    following = turns.select(
-        conversation, turn, F.lower(role).alias("r"), T.collapse(F.col(text)).alias("q"), F.lower(F.lead(role).over(order)).alias("r2"), T.collapse(F.lead(text).over(order)).alias("a")
-    )
-    met = following.where(F.col("r").isin(*USER_ROLES) & F.col("r2").isin(*ASSISTANT_ROLES))
-    return met.groupBy(conversation).agg(F.min_by(F.struct("q", "a"), turn).alias("p")).select(conversation, "p.q", "p.a")
+    """``(conv_id, q, a)``: the first user turn that an assistant turn follows at once, in each conversation.
+
+    A conversation of any length is cut into ranges of turns, so none is one task.
+    """
+    said = turns.select(conversation, turn, F.lower(role).alias("r"), T.collapse(F.col(text)).alias("t"))
+    ranged = in_ranges(said, [conversation], turn)
+    inside = Window.partitionBy(conversation, "__range").orderBy(turn)
+    spoken = F.struct("r", "t")
+    # a range's last turn is followed by the first of the conversation's next range, of which there is a row each
+    heads = ranged.groupBy(F.col(conversation).alias("__conv"), F.col("__range").alias("__r")).agg(F.min_by(spoken, turn).alias("head"))
+    heads = heads.select("__conv", "__r", F.lead("head").over(Window.partitionBy("__conv").orderBy("__r")).alias("__next"))
+    met = ranged.withColumn("__after", F.lead(spoken).over(inside)).join(heads, F.col(conversation).eqNullSafe(F.col("__conv")) & (F.col("__range") == F.col("__r")))
+    met = met.withColumn("after", F.coalesce("__after", "__next")).where(F.col("r").isin(*USER_ROLES) & F.col("after.r").isin(*ASSISTANT_ROLES))
+    return met.groupBy(conversation).agg(F.min_by(F.struct(F.col("t").alias("q"), F.col("after.t").alias("a")), turn).alias("p")).select(conversation, "p.q", "p.a")
 
 
 def exclusion_reasons(pairs: DataFrame, order: str, max_q: int, max_a: int, leak: Column | None = None, q: str = "q", a: str = "a") -> DataFrame:

@@ -374,3 +374,33 @@ def rubric_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = scoring.rubric(rows, F.col("cot"), F.col("answer"), F.lit("arithmetic")).select("p_partkey", scoring.rubric_result().alias("r"))
     number = T.to_number(F.concat(F.lit(" "), F.format_number(F.col("p_partkey") + 1000, 0), F.lit(" ")))
     return judged.select("p_partkey", "r.cot_quality_score", "r.breakdown.*", "r.status", "r.needs_manual_review", number.alias("number"))
+
+
+@query("""
+WITH p AS (SELECT p_brand AS q, p_name AS phrase FROM part), k AS (SELECT DISTINCT p_brand AS q FROM part WHERE p_size > 1 UNION SELECT n_name FROM nation),
+h AS (SELECT q, count(*) AS n, count(DISTINCT phrase) AS different, max((phrase = q)::INT) AS same FROM p GROUP BY q)
+SELECT 'unknown question' AS problem, q AS question FROM h WHERE q NOT IN (SELECT q FROM k) UNION ALL SELECT 'no phrases', q FROM k WHERE q NOT IN (SELECT q FROM h)
+UNION ALL SELECT 'few phrases', q FROM h WHERE n < 80 UNION ALL SELECT 'repeated phrase', q FROM h WHERE different < n OR same = 1
+""")
+def bank_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with a bank of phrases: questions without any or with few, unknown ones, and repeated phrases."""
+    part = table(spark, sf_dir, "part").withColumn("_note", F.lit("x"))
+    phrases = imports.without_private(part.select(F.col("p_brand").alias("q"), F.col("p_name").alias("phrase"), "_note"))
+    known = part.where("p_size > 1").select(F.col("p_brand").alias("q")).unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("q")))
+    usable = imports.require_rows(phrases, F.length("phrase") > 0, "phrases")
+    return imports.structure_problems(usable, known, "q", "phrase", least=80)
+
+
+@query(r"""
+WITH t AS (SELECT DISTINCT p_name AS stem FROM part WHERE p_size < 10), w AS (SELECT *, stem || 'とは' AS base, regexp_extract(stem || 'とは', '^([^\s\x{3000}はがのとですか？]+)', 1) AS word FROM t),
+v AS (SELECT DISTINCT trim(regexp_replace(x, '[？?！!]+$', '')) AS v FROM (SELECT unnest(list_concat([base || '？', base, stem || 'について教えて', stem || 'とは何ですか？', stem || 'といえば？'], CASE WHEN length(word) >= 2 THEN [word || 'といえば？'] ELSE [] END)) AS x FROM w)),
+i AS (SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN 'とは！？' WHEN 1 THEN 'について教えて！' WHEN 2 THEN 'は赤い？' ELSE 'とは何ですか' END AS text, p_size = 50 AS exempt FROM part)
+SELECT p_partkey FROM i WHERE NOT exempt AND trim(regexp_replace(text, '[？?！!]+$', '')) IN (SELECT v FROM v)
+""")
+def trained_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that are a trained question in other words, those of one kind exempt."""
+    part = table(spark, sf_dir, "part")
+    trained = part.where("p_size < 10").select(F.concat("p_name", F.lit("とは？")).alias("q")).distinct()
+    ending = F.element_at(F.array(*map(F.lit, ("とは！？", "について教えて！", "は赤い？", "とは何ですか"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    items = part.select("p_partkey", F.concat("p_name", ending).alias("text"), "p_size")
+    return imports.trained_items(items, "text", trained, "q", F.col("p_size") == 50).select("p_partkey")
