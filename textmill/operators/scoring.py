@@ -166,6 +166,12 @@ def verdicts(rows: DataFrame, category: str, correct: Column) -> DataFrame:
     return rows.rollup(category).agg(F.count("*").alias("n"), share.alias("accuracy")).withColumn("verdict", verdict(F.col("accuracy")))
 
 
+def each_setting(prompts: DataFrame, settings: list[dict]) -> DataFrame:
+    """Every prompt with every setting, a column for each of its names: rows spread in place, no cross join.  Settings share their names."""
+    listed = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in setting.items())) for setting in settings))
+    return prompts.withColumn("__setting", F.explode(listed)).select(*prompts.columns, "__setting.*")
+
+
 def decoding_summary(rows: DataFrame, setting: str, text: Column, keywords: Column) -> DataFrame:
     """Per setting: mean repetition, count of strong repetition, hit rate where keywords exist, mean length."""
     rep = T.repetition(text)

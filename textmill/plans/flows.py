@@ -404,3 +404,16 @@ def trained_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ending = F.element_at(F.array(*map(F.lit, ("とは！？", "について教えて！", "は赤い？", "とは何ですか"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     items = part.select("p_partkey", F.concat("p_name", ending).alias("text"), "p_size")
     return imports.trained_items(items, "text", trained, "q", F.col("p_size") == 50).select("p_partkey")
+
+
+@query("""
+WITH s(name, top_p, times) AS (VALUES ('greedy', 0.0::DOUBLE, 1), ('low', 0.5, 2), ('high', 0.95, 3)), d AS (SELECT name, top_p, repeat(p_name, times) AS t FROM part, s),
+g AS (SELECT name, top_p, t, string_split(replace(t, ' ', ''), '') AS c FROM d), r AS (SELECT name, top_p, length(t) AS n, list_transform(range(1, len(c) - 2), lambda i: array_to_string(c[i : i + 3], '')) AS q FROM g)
+SELECT name, top_p, count(*) AS n, round(avg(CASE WHEN len(q) < 8 THEN 0 ELSE 1 - len(list_distinct(q))::DOUBLE / len(q) END), 6) AS repetition, round(avg(n), 6) AS mean_length FROM r GROUP BY ALL
+""")
+def setting_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's name under three settings, which repeat it one to three times: repetition and length of each setting."""
+    settings = [{"name": n, "top_p": p, "times": k} for n, p, k in (("greedy", 0.0, 1), ("low", 0.5, 2), ("high", 0.95, 3))]
+    said = scoring.each_setting(table(spark, sf_dir, "part").select("p_name"), settings).withColumn("t", F.expr("repeat(p_name, times)"))
+    repetition = F.round(F.avg(T.repetition(F.col("t"))), 6).alias("repetition")
+    return said.groupBy("name", "top_p").agg(F.count("*").alias("n"), repetition, F.round(F.avg(F.length("t")), 6).alias("mean_length"))
