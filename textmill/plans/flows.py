@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import text as T
 from textmill.functions import udfs as U
-from textmill.operators import imports, leakage, permutation, scoring
+from textmill.operators import generation, imports, leakage, mixing, permutation, scoring
 from textmill.plans.queries import query, table
 from textmill.sources import readers, scratch, stages, token_files, writers
 from textmill.streaming import files, keyed, ledger
@@ -417,3 +417,21 @@ def setting_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = scoring.each_setting(table(spark, sf_dir, "part").select("p_name"), settings).withColumn("t", F.expr("repeat(p_name, times)"))
     repetition = F.round(F.avg(T.repetition(F.col("t"))), 6).alias("repetition")
     return said.groupBy("name", "top_p").agg(F.count("*").alias("n"), repetition, F.round(F.avg(F.length("t")), 6).alias("mean_length"))
+
+
+@query("""
+WITH f AS (SELECT 'code' AS category, s_suppkey AS pos, s_name || 'を表示するコードを書いて' AS input, 'print("' || s_name || '")' AS answer FROM supplier UNION ALL SELECT 'conversation', c_custkey, c_name || 'さん、こんにちは', c_mktsegment FROM customer),
+p AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY pos) - 1 AS place, count(*) OVER (PARTITION BY category) AS n FROM f),
+q AS (SELECT count(*) AS n FROM orders), r AS (SELECT 'code' AS category, unnest(range(0, floor(n * 0.2::DOUBLE)::BIGINT)) AS i FROM q UNION ALL SELECT 'conversation', unnest(range(0, floor(n * 0.1::DOUBLE)::BIGINT)) FROM q),
+m AS (SELECT r.category, i, input, answer, ('0x' || substr(md5('0:' || r.category || ':' || i), 1, 8))::BIGINT AS h FROM r JOIN p ON p.category = r.category AND ('0x' || substr(md5('0:' || r.category || ':' || i), 1, 8))::BIGINT % n = place)
+SELECT category || '_20240101_' || lpad(i::VARCHAR, 5, '0') AS id, category, input, CASE WHEN h / 4294967296.0::DOUBLE < 0.4 THEN 'まず考える。' ELSE '' END AS cot, answer, h / 4294967296.0::DOUBLE < 0.4 AS has_cot FROM m
+""")
+def generated_talk_and_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of code and conversation by their quotas of as many as there are orders, reasoning kept in two of five."""
+    supplier, customer = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    code = supplier.select(F.lit("code").alias("category"), F.col("s_suppkey").cast("long").alias("pos"), F.concat("s_name", F.lit("を表示するコードを書いて")).alias("input"), F.concat(F.lit('print("'), "s_name", F.lit('")')).alias("answer"))
+    talk = customer.select(F.lit("conversation").alias("category"), F.col("c_custkey").cast("long").alias("pos"), F.concat("c_name", F.lit("さん、こんにちは")).alias("input"), F.col("c_mktsegment").alias("answer"))
+    numbers = {c: n for c, n in mixing.quotas(table(spark, sf_dir, "orders").count()).items() if c in ("code", "conversation")}
+    rows = generation.generated(spark, code.unionByName(talk), "pos", numbers).withColumns({"key": F.concat_ws(":", "category", "i"), "cot": F.lit("まず考える。")})
+    kept = mixing.keep_reasoning(rows, "key", 0.4)
+    return kept.select(generation.dated_id(F.col("category"), "20240101", F.col("i")).alias("id"), "category", "input", "cot", "answer", "has_cot")
