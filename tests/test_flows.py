@@ -5,12 +5,14 @@ import os
 import random
 import statistics
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from textmill.functions import text as T
 from textmill.operators import chat, imports, leakage, ordered, permutation, scoring
+from textmill.plans import flows, queries
 from textmill.sources import readers, scratch, stages, storage, token_files, writers
 from textmill.streaming import files, keyed, ledger
 
@@ -433,6 +435,18 @@ def test_reading_samples_lose_what_is_held_out(spark):
     assert all(i.startswith("unans_") and i != "unans_A1" for i in ids.get("unanswerable", [])) and all(r.answer == chat.UNANSWERABLE for r in got if r.task == "unanswerable")
 
 
+def test_reading_samples_take_every_question(spark, tmp_path):
+    name = F.md5(F.col("id").cast("string")).alias("p_name")
+    spark.range(26_000).select(F.col("id").alias("p_partkey"), name, F.concat(F.lit("Brand#"), F.col("id") % 50).alias("p_brand"), F.lit("STEEL").alias("p_type")).write.parquet(f"{tmp_path}/part.parquet")
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    for table in ("nation", "benchmark", "documents"):
+        os.symlink(f"/root/testdata/sf0.001/{table}.parquet", f"{tmp_path}/{table}.parquet")
+        sql.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    want = sql.execute(queries.SQL["reading_samples"]).fetchall()
+    assert sorted(map(tuple, flows.reading_samples(spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_batches_are_padded_and_numbers_read(spark):
     rows = spark.createDataFrame([(1, [5, 6], None, [7]), (2, [5], [8], []), (3, [5, 6, 7, 8], [], [9])], "o long, p array<int>, c array<int>, a array<int>")
     got = {r.o: r for r in imports.training_batches(rows, "o", F.col("p"), F.col("c"), F.col("a"), 2, 1, 2, 0, 5).collect()}

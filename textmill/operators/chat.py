@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import text as T
 from textmill.functions.udfs import window_context
-from textmill.operators.ordered import hash_number, in_ranges
+from textmill.operators.ordered import hash_number, in_ranges, within_budget
 
 # --- Fixed values -----------------------------------------------------------
 READ_PROMPT = "次の文章を読んで、質問に答えてください。文章に書かれていないことは答えないでください。\n文章：%s\n質問：%s"
@@ -125,7 +125,8 @@ def unanswerable_items(reading: DataFrame, n: int, max_overlap: float = 0.12, tr
     """Up to ``n`` questions with another article's text that hardly shares a pair of characters with them.
 
     Each question tries the rows a few hashed places further on; no product
-    of all rows is formed.
+    of all rows is formed.  The first ``n`` by id are taken in ranges, as ``n``
+    may grow with the rows.
     """
     size = max(1, reading.count())
     placed = reading.withColumn("__h", hash_number("id", seed=seed))
@@ -133,5 +134,5 @@ def unanswerable_items(reading: DataFrame, n: int, max_overlap: float = 0.12, tr
     other = placed.select(bounds.alias("__slot"), F.col("title").alias("t2"), F.col("context").alias("c2"))
     mine = placed.select("id", "title", "question", F.explode(F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda k: F.pmod(F.col("__h") + k, F.lit(size)))).alias("__slot"))
     met = mine.join(other, "__slot").where((F.col("title") != F.col("t2")) & (T.overlap(F.col("question"), F.col("c2")) <= max_overlap))
-    first = met.groupBy("id").agg(F.min(F.struct("t2", "c2", "question")).alias("m")).orderBy("id").limit(n)
-    return first.select("id", F.format_string(READ_PROMPT, "m.c2", "m.question").alias("input"), F.lit(UNANSWERABLE).alias("answer"))
+    first = met.groupBy("id").agg(F.min(F.struct("t2", "c2", "question")).alias("m"))
+    return within_budget(first, [], "id", F.lit(1), n).select("id", F.format_string(READ_PROMPT, "m.c2", "m.question").alias("input"), F.lit(UNANSWERABLE).alias("answer"))
