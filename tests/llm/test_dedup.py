@@ -9,9 +9,9 @@ import pytest
 from textmill.llm.decontaminate import contaminations, drop_contaminated
 from textmill.llm.embedding_dedup import embedding_components, linked_pairs, quantise
 from textmill.llm.graph import connected_components
-from textmill.llm.line_dedup import BANDS, BINS, SHINGLE, _linked_components, dedup_lines, line_report, line_signatures
+from textmill.llm.line_dedup import BANDS, BINS, BLOCK, POINTS, SHINGLE, _linked_components, dedup_lines, line_report, line_signatures
 from textmill.llm.minhash_dedup import _linked, minhash_components, minhash_keep
-from textmill.llm.neardup import agreeing, band_keys, components, packed, rows_with_partners, verified_pairs
+from textmill.llm.neardup import agreeing, band_keys, bucket_heads, components, packed, rows_with_partners, verified_pairs
 
 DOC = "doc_id long, text string, component_id string, node string, k int, __gone int"
 
@@ -195,6 +195,35 @@ def sharing_a_band(spark, pairs):
     return np.array([bool(x and y) and any(all(x[j] == y[j] for j in band) for band in BANDS) for x, y in sides])
 
 
+def test_line_minima_match_brute_force(spark):
+    rng = random.Random(13)
+    lines = sorted({"".join(rng.choices("abcdé ", k=n)).strip() + "😀" for n in (16, 17, 20, 30, 48, 60, 100, 150, 190)})
+    given = spark.createDataFrame([(x,) for x in lines], "line string")
+    keys = {r.k: r.line for r in given.selectExpr("xxhash64(line) AS k", "line").collect()}
+    parts = sorted({line[i : i + SHINGLE] for line in lines for i in range(len(line) - SHINGLE + 1)})
+    hashes = {r.s: r.h for r in spark.createDataFrame([(x,) for x in parts], "s string").selectExpr("s", f"xxhash64(encode(s, 'UTF-32')) AS x").selectExpr("s", f"shiftleft(shiftright((x & 255) * {BINS}, 8), 56) | shiftrightunsigned(x, 8) AS h").collect()}
+    signatures = line_signatures(given.withColumnRenamed("line", "text"))
+    for r in signatures.collect():
+        line = keys[r.k]
+        held = [hashes[line[i : i + SHINGLE]] for i in range(len(line) - SHINGLE + 1)]
+        assert [r[f"m{j}"] for j in range(BINS)] == [min(h ^ p for h in held) for p in POINTS]
+    plan = signatures._jdf.queryExecution().optimizedPlan().toString()
+    of_shingles = [x for x in plan.splitlines() if "Aggregate" in x and "min((h#" in x]
+    assert len(of_shingles) == 1 and of_shingles[0].count("min(") == BLOCK  # not a minimum of each bin for each shingle
+
+
+def test_short_lines_that_end_differently_share_a_band(spark):
+    rng = random.Random(14)
+    pairs = []
+    for _ in range(1200):
+        line = "".join(rng.choices("abcdefghijklmnopqrst ", k=rng.randrange(40, 64))).strip()
+        other = line
+        while len(line_set(line) & line_set(other[:-1].strip())) >= 0.8 * len(line_set(line)):
+            other = other[:-1].strip()
+        pairs.append((line, other))
+    assert all(x != y for x, y in pairs) and sharing_a_band(spark, pairs).mean() > 0.95
+
+
 def test_lines_of_unequal_length_share_a_band(spark):
     rng = random.Random(11)
     real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
@@ -297,6 +326,37 @@ def test_line_sets_link_components(spark):
     assert got == {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if alike(sets[i], sets[j])} and len(got) > 20
 
 
+def test_buckets_are_shuffled_once_and_not_sorted(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(3) for _ in range(14)]) for i in range(60)]
+    frame = signed(spark, rows, 14)
+    found = bucket_heads(frame, band_keys([(0, 1, 2), (7, 8, 9)]))
+    members = {}
+    for node, m in rows:
+        for band in ((0, 1, 2), (7, 8, 9)):
+            members.setdefault((band, tuple(m[i] for i in band)), set()).add(node)
+    got = {}
+    for r in found.collect():
+        got.setdefault((r.bucket, r.head), set()).add(r.node)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(m) for m in members.values() if len(m) > 1)
+    assert all(head == max(nodes) for (_, head), nodes in got.items())
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" not in plan and "ReusedExchange" in plan
+
+
+@pytest.mark.parametrize("meetings", [0, 4096])
+def test_crowded_buckets_give_the_same_lines(spark, monkeypatch, meetings):
+    from textmill.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "MOST_MEETINGS", meetings)
+    rng = random.Random(6)
+    base = ["".join(rng.choices("abcdefgh ", k=100)).strip() for _ in range(6)]
+    rows = [(i, line[:at] + x + line[at + 1 :]) for i, (line, at, x) in enumerate((rng.choice(base), rng.randrange(100), rng.choice("XYZ")) for _ in range(150))]
+    rows += [(200 + i, line[3:] + "".join(rng.choices("abcdefgh", k=5))) for i, (_, line) in enumerate(rows[:60])]
+    got = {r.doc_id: r.removed for r in line_report(docs(spark, rows)).collect() if r.removed}
+    assert got == brute_lines(rows)
+
+
 @pytest.mark.parametrize("hot", [3, 10_000])
 def test_components_with_hot_and_other_buckets(spark, hot, monkeypatch):
     from textmill.llm import neardup

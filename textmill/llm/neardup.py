@@ -77,10 +77,11 @@ def _place(weight: str, node: str) -> str:
 
 
 def bucket_heads(signatures: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``(bucket, node, head)`` of each bucket of two nodes or more; its head is its heaviest node.
+    """``(bucket, node, weight, head)`` of each bucket of two nodes or more; its head is its heaviest node.
 
     Each node goes to the buckets ``keys``, and one shuffle of them serves the
-    aggregation and the join.  Hot buckets, found in a sample of bounded size,
+    aggregation and the join, as both sides read the same columns; heads are
+    few, so the join hashes them and sorts nothing.  Hot buckets, found in a sample of bounded size,
     are left out of it: their heads come from partial aggregates and are
     broadcast, so that no task holds a hot bucket.
     """
@@ -96,10 +97,10 @@ def bucket_heads(signatures: DataFrame, keys: Sequence[str]) -> DataFrame:
         return found.where("lo < hi").select("bucket", "head")
 
     cold = members.join(F.broadcast(hot), "bucket", "left_anti").repartition("bucket")
-    out = cold.join(heads(cold), "bucket").select("bucket", "node", "head")
+    columns = ("bucket", "node", "weight", "head")
+    out = cold.join(heads(cold).hint("shuffle_hash"), "bucket").select(*columns)
     crowded = members.join(F.broadcast(hot), "bucket", "left_semi")
-    out = out.unionByName(crowded.join(F.broadcast(heads(crowded)), "bucket").select("bucket", "node", "head"))
-    return out
+    return out.unionByName(crowded.join(F.broadcast(heads(crowded)), "bucket").select(*columns))
 
 
 def rows_with_partners(open_rows: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
