@@ -461,6 +461,23 @@ def test_reading_samples_take_every_question(spark, tmp_path):
     assert sorted(map(tuple, flows.reading_samples(spark, str(tmp_path)).collect())) == sorted(want)
 
 
+def test_reading_samples_gather_no_table_in_a_task_or_the_driver(spark, monkeypatch):
+    plans, kept, plan = [], scratch.kept, lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(scratch, "kept", lambda df, name: plans.append(plan(df)) or kept(df, name))
+    asked = lambda n: {"id": f"{n:03d}", "question": "海の色は？", "is_impossible": False, "answers": [{"text": "two", "answer_start": 4}]}
+    made = [{"title": str(n), "paragraphs": [{"context": "one two three。", "qas": [asked(n)]}]} for n in range(40)]
+    squad = spark.createDataFrame([(made,)], readers.SQUAD)
+    docs = spark.range(30).select(F.col("id").alias("k"), F.lit("Lead sentence that is long enough to sum up.\n" + "Lead sentence that is long enough.\n" * 8).alias("t"))
+    found = imports.reading_samples(squad, docs, "k", "t", lambda c: c, unanswerable=0.5, max_summary=7, stop=".")
+    plans.append(plan(found))
+    got = found.collect()
+    assert sorted(r.id for r in got if r.task == "summary") == [f"sum_{n}" for n in range(7)]
+    assert len([r for r in got if r.task == "unanswerable"]) == 20
+    assert not [p for p in plans if "TakeOrdered" in p or "Limit" in p]
+    met = [p for p in plans if "__slot" in p]
+    assert met and all("SortMergeJoin" in p and "Broadcast" not in p for p in met)
+
+
 def test_batches_are_padded_and_numbers_read(spark):
     rows = spark.createDataFrame([(1, [5, 6], None, [7]), (2, [5], [8], []), (3, [5, 6, 7, 8], [], [9])], "o long, p array<int>, c array<int>, a array<int>")
     got = {r.o: r for r in imports.training_batches(rows, "o", F.col("p"), F.col("c"), F.col("a"), 2, 1, 2, 0, 5).collect()}

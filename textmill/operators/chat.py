@@ -107,7 +107,11 @@ def reading_items(rows: DataFrame, max_chars: int = 450) -> DataFrame:
 
 
 def summary_items(docs: DataFrame, key: str, text: str, min_lead: int = 40, max_lead: int = 160, body_chars: int = 450, min_body: int = 200, min_overlap: float = 0.30, stop: str = "。") -> DataFrame:
-    """``(key, body, lead)``: the first paragraph as a summary of the following ones, where it is of fitting length, a sentence, and mostly said there."""
+    """``(key, body, lead)``: the first paragraph as a summary of the following ones, where it is of fitting length, a sentence, and mostly said there.
+
+    Paragraphs and bodies pass a generator of one row each, else every condition on them would work them out again.
+    """
+    once = lambda c: F.explode(F.array(c))
     paras = T.stripped_lines(F.col(text))
     state = F.struct(F.lit("").alias("text"), F.lit(False).alias("done"))
 
@@ -115,24 +119,26 @@ def summary_items(docs: DataFrame, key: str, text: str, min_lead: int = 40, max_
         full = acc["done"] | (F.length(acc["text"]) + F.length(p) > body_chars)
         return F.struct(F.when(full, acc["text"]).otherwise(F.concat(acc["text"], p)).alias("text"), full.alias("done"))
 
+    lead = F.col("paras")[0]
     body = F.aggregate(F.slice("paras", F.lit(2), F.size("paras")), state, add, lambda acc: acc["text"])
-    out = docs.select(key, paras.alias("paras")).where(F.size("paras") >= 3).select(key, F.col("paras")[0].alias("lead"), body.alias("body"))
-    fits = F.length("lead").between(min_lead, max_lead) & F.col("lead").endswith(stop) & (F.length("body") >= min_body)
-    return out.where(fits & (T.overlap(F.col("lead"), F.col("body")) >= min_overlap)).select(key, "body", "lead")
+    led = docs.select(key, once(paras).alias("paras")).where((F.size("paras") >= 3) & F.length(lead).between(min_lead, max_lead) & lead.endswith(stop))
+    out = led.select(key, lead.alias("lead"), once(body).alias("body"))
+    return out.where((F.length("body") >= min_body) & (T.overlap(F.col("lead"), F.col("body")) >= min_overlap)).select(key, "body", "lead")
 
 
 def unanswerable_items(reading: DataFrame, n: int, max_overlap: float = 0.12, tries: int = 8, seed: str = "0") -> DataFrame:
     """Up to ``n`` questions with another article's text that hardly shares a pair of characters with them.
 
     Each question tries the rows a few hashed places further on; no product
-    of all rows is formed.  The first ``n`` by id are taken in ranges, as ``n``
-    may grow with the rows.
+    of all rows is formed.  Both sides grow with the data and are shuffled:
+    files of repetitive texts look small enough to broadcast and are not.
+    The first ``n`` by id are taken in ranges, as ``n`` may grow with the rows.
     """
     size = max(1, reading.count())
     placed = reading.withColumn("__h", hash_number("id", seed=seed))
     bounds = F.pmod("__h", F.lit(size))
     other = placed.select(bounds.alias("__slot"), F.col("title").alias("t2"), F.col("context").alias("c2"))
     mine = placed.select("id", "title", "question", F.explode(F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda k: F.pmod(F.col("__h") + k, F.lit(size)))).alias("__slot"))
-    met = mine.join(other, "__slot").where((F.col("title") != F.col("t2")) & (T.overlap(F.col("question"), F.col("c2")) <= max_overlap))
+    met = mine.join(other.hint("merge"), "__slot").where((F.col("title") != F.col("t2")) & (T.overlap(F.col("question"), F.col("c2")) <= max_overlap))
     first = met.groupBy("id").agg(F.min(F.struct("t2", "c2", "question")).alias("m"))
     return within_budget(first, [], "id", F.lit(1), n).select("id", F.format_string(READ_PROMPT, "m.c2", "m.question").alias("input"), F.lit(UNANSWERABLE).alias("answer"))
